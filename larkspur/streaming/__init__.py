@@ -1,0 +1 @@
+"""No operator of this engine is a stream operator; the SQL surface is batch only."""
