@@ -38,3 +38,10 @@ def batch(schema: str, **columns) -> pa.RecordBatch:
     types = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}
     fields = [x.split() for x in schema.split(",")]
     return pa.RecordBatch.from_arrays([pa.array(columns[name], types[kind]) for name, kind in fields], names=[name for name, _ in fields])
+
+
+def tokenizer(name: str) -> str:
+    """A public tokenizer's file. The package is installed on every executor; its files are not copied."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

@@ -6,15 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import contamination, html, huffman, language, licenses, packing, quality
-from larkspur.llm.common import table
-
-
-def tokenizer(name: str) -> str:
-    """A public tokenizer's file; the package is found on every executor, its files are not copied."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
+import corpus_pipeline
+from larkspur.llm import contamination, embeddings, html, huffman, jaccard, language, licenses, packing, quality, repeats
+from larkspur.llm.common import table, tokenizer
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +16,14 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(table(spark, sf_dir, "documents"))
+
+
 def op4_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -35,6 +37,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), with_ids=False)
 
 
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_pages(table(spark, sf_dir, "pages"))
 
@@ -47,8 +53,16 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op4_contamination, op5_language, op6_packing, op8_html, op9_huffman, op10_licenses)}
+    operators = (
+        op1_quality, op2_jaccard, op3_repeats, op4_contamination, op5_language,
+        op6_packing, op7_embeddings, op8_html, op9_huffman, op10_licenses, pipeline,
+    )
+    return {f.__name__: f for f in operators}
 
 
 def oracle_sql() -> dict[str, str]:
