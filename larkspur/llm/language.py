@@ -105,7 +105,7 @@ class Model:
             now = state[:, :m]
             after = flat[now * width + c]
             ended = after < 0
-            counts[:, :m] += ended | (k == 0)
+            counts[:, :m] += ended | (now == roots)  # no step leads back to a root
             if ended.any():  # the character begins a phrase; one that the language lacks is a phrase by itself
                 again = flat[roots * width + c[None, :]]
                 after = np.where(ended, np.where(again < 0, roots, again), after)

@@ -1,0 +1,131 @@
+"""Page text and licence scan."""
+
+import re
+from collections import Counter
+from html import unescape
+
+import pytest
+
+from larkspur.llm import html, licenses
+
+from conftest import ascii_lower  # isort: skip
+
+PARAGRAPHS = ["The first paragraph is long enough to be read, with <a href='/x'>a link</a> and <b>bold&nbsp;text</b> in it.", "Second,\n   with   white space &amp; &#233;.", "Short."]
+EXPECTED = "Title\nThe first paragraph is long enough to be read, with a link and bold text in it.\nSecond, with white space & é.\nShort."
+MENU = "<ul>" + "".join(f"<li><a href='/{k}'>Menu entry {k}</a></li>" for k in range(9)) + "</ul>"
+BODY = "<h1>Title</h1>" + "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+LONG = "<p>" + "This is quite a lot of text that says much, in whole sentences, and is not the article. " * 12 + "</p>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<html><body><nav>{MENU}</nav><article>{BODY}</article><footer>&copy; someone</footer></body></html>",
+        f"<body><nav>{MENU}</nav><article>{BODY}",
+        f"<body><header><p>Site name</p></header><main>{BODY}</main><aside>{LONG}</aside>",
+        f"<body><div class='navbar'>{MENU}</div><div id=content>{BODY}</div><div class='sidebar'>{LONG}</div>",
+        f"<body class='has-sidebar'><div class=page><div class=story>{BODY}<div class='share-buttons'>Share this</div></div><section id=comments>{LONG}</section></div>",
+        f"<body><div class='cookie-notice'>{LONG}</div><article>{BODY}<form>{LONG}<input></form></article>",
+        f"<body><script>var a = '<p>no</p>';</script><style>p{{}}</style><!-- {LONG} --><article>{BODY}</article><noscript>{LONG}</noscript>",
+        f"<body><div role=navigation>{MENU}</div><article><header><h1>Title</h1></header>{BODY.replace('<h1>Title</h1>', '')}</article><div hidden>{LONG}</div>",
+        f"<body><div>{MENU}</div><article>{BODY}{MENU}</article><div class='ad'>{LONG}</div>",
+        f"<body><article><h1>Title<p>{'<p>'.join(PARAGRAPHS)}</article><div style='display: none'>{LONG}</div>",
+        f"<body><article>{BODY}<div class=comments><article>{LONG}</article></div></article>",
+        f"<BODY><ARTICLE>{BODY.replace('<p>', '<P CLASS=x>')}</ARTICLE><div class=\"related\" data-x='a > b'>{LONG}</div>",
+    ],
+)
+def test_article_without_the_rest(page):
+    assert html.extract(page) == EXPECTED
+
+
+@pytest.mark.parametrize(("page", "text"), [("", ""), ("   ", ""), ("plain &lt;text&gt;", "plain <text>"), ("<p>a<p>b", "a\nb"), ("<nav><a>x</a></nav>", ""), ("<div", ""), ("a < b", "a < b"), ("<p>a<br>b</p><ul><li>c<li>d</ul>", "a b\nc\nd"), ("</p></div>x", "x"), ("<table><tr><td>a<td>b<tr><td>c</table>", "a\nb\nc")])
+def test_odd_pages(page, text):
+    assert html.extract(page) == text
+
+
+def test_deep_and_long_pages():
+    assert html.extract("<div>" * 20_000 + "deep" + "</div>" * 20_000) == "deep"
+    assert len(html.extract("<article>" + "<p>word word word</p>" * 50_000)) == 15 * 50_000 - 1
+
+
+def test_density_prefers_text_over_links():
+    root = html.parse(f"<body><div>{MENU}</div><div>{BODY}</div></body>")
+    nodes = html._prune(root)
+    html._measure(nodes)
+    menu, text = [x for x in nodes if x.tag == "div"]
+    assert text.density > menu.density and text.total > menu.total
+
+
+def test_templates_of_the_table(spark):
+    def reference(page):
+        inner = re.search(r"<article>(.*?)(</article>|<footer|\Z)", page, re.S)[1]
+        lines = re.sub(r"<[^>]*>", "", re.sub(r"<br>", " ", re.sub(r"</?(p|h1)>", "\n", inner))).split("\n")
+        return "\n".join(x for x in (re.sub(r"\s+", " ", unescape(line)).strip() for line in lines) if x)
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    expected = {r.page_id: reference(r.html) for r in pages.collect()}
+    rows = html.extract_pages(pages).collect()
+    assert {r.page_id: r.text for r in rows} == expected and all(r.n_chars == len(r.text) for r in rows)
+
+
+def test_hostile_rows(spark):
+    rows = [(1, "u", None, 1), (2, None, "", 2), (None, "u", "<p>x</p>", 3), (4, "u", f"<article>{BODY}</article>", 4), (4, "u", f"<article>{BODY}</article>", 4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
+    got = Counter(tuple(r) for r in html.extract_pages(df).collect())
+    assert got == Counter([(1, "u", "", 0), (2, None, "", 0), (None, "u", "x", 1), (4, "u", EXPECTED, len(EXPECTED)), (4, "u", EXPECTED, len(EXPECTED))])
+    assert html.extract_pages(df.limit(0)).count() == 0
+
+
+# -- licences ------------------------------------------------------------------------------
+
+
+def split(text):
+    return re.findall(r"[0-9a-z\x80-\U0010ffff]+", ascii_lower(text))
+
+
+def bag(w):
+    return Counter(zip(w, w[1:], strict=False))
+
+
+def brute(text, templates, least):
+    """All passages, all templates, no bounds."""
+    found = set()
+    passages = [text, *text.split("\n"), *re.split(r"\n[^0-9a-zA-Z\x80-\U0010ffff]*\n", text)]
+    for p in passages:
+        for name, t in templates:
+            d = licenses.dice(bag(split(p)), bag(split(t)))
+            if d >= least:
+                found.add((round(d, 9), name))
+    return min(((-d, n) for d, n in found), default=(0.0, None))
+
+
+@pytest.fixture
+def noted(words):
+    out = []
+    for k, (_, t) in enumerate(licenses.TEMPLATES):
+        half = " ".join(t.split()[: len(t.split()) // 2])
+        wrapped = re.sub(r"((?:\S+ ){9})", r"\1\n", t)
+        out += [words.text(30) + "\n" + t + "\n" + words.text(30), t.upper(), words.text(9) + "\n\n" + wrapped + "\n\n" + words.text(9), half, t + " " + words.text(3), words.text(40) + " " + t]
+    return [(k, t) for k, t in enumerate(out)]
+
+
+def test_matches_are_those_of_brute_force(documents, noted, hostile):
+    rows = noted + [(1000 + k, t) for k, (_, t) in enumerate(hostile) if t and len(t) < 5000]
+    got = {r.doc_id: r for r in licenses.scan(documents(rows)).collect()}
+    for doc_id, text in rows:
+        d, name = brute(text, licenses.TEMPLATES, licenses.LEAST)
+        assert (round(got[doc_id].dice, 9), got[doc_id].license) == (-d, name), text
+        assert (got[doc_id].n_matches > 0) == (name is not None)
+
+
+def test_licenses_of_hostile_rows(documents, hostile):
+    rows = licenses.scan(documents(hostile)).collect()
+    assert Counter(r.doc_id for r in rows) == Counter(d for d, _ in hostile)
+    assert all(r.license is None and r.dice == 0 and r.licenses == "" and r.n_matches == 0 for r in rows)
+    assert licenses.scan(documents([])).count() == 0
+
+
+def test_several_licences(documents):
+    rows = [(1, "Released under the MIT License.\nblah blah\nLicensed under CC BY-NC 4.0.\n\nAll rights reserved.")]
+    (r,) = licenses.scan(documents(rows)).collect()
+    assert (r.n_matches, r.dice, r.licenses) == (3, 1.0, "CC-BY-NC-4.0,LicenseRef-proprietary,MIT") and r.license == "CC-BY-NC-4.0"
