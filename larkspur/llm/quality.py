@@ -20,10 +20,10 @@ from larkspur.llm.common import batch, held_out
 
 #: Labelled documents read for fitting, half of each label at most, and bytes used of each: the fit is bounded, the scoring is not.
 SAMPLE_ROWS, SAMPLE_BYTES = 4000, 4096
-DICTIONARY_BYTES = 112 << 10
-LEVEL = 3
+DICTIONARY_BYTES = 512 << 10
+LEVEL = 9
 #: Long texts are compressed in pieces, so that the dictionary weighs the same throughout.
-PIECE = 2048
+PIECE = 512
 THRESHOLD = 0.7
 
 _ROWS = "doc_id long,score double"
