@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from larkspur.llm import contamination, embeddings, html, huffman, jaccard, language, licenses, packing, quality, repeats
+from larkspur.llm import contamination, embeddings, html, huffman, jaccard, language, licenses, oracles, packing, quality, repeats
 from larkspur.llm.common import table, tokenizer
 
 
@@ -66,4 +66,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The other operators learn, tokenize or parse, which SQL does not; tests hold them against brute force."""
+    return {"op2_jaccard": oracles.OP2, "op3_repeats": oracles.OP3, "op4_contamination": oracles.OP4, "op7_embeddings": oracles.OP7}
