@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import batch
-from larkspur.llm.vectors import ALNUM, LOWER, Block, Ranges, Words, blocks, mix, words
+from larkspur.llm.common import batch, materialize
+from larkspur.llm.vectors import ALNUM, LOWER, Block, Ranges, Words, blocks, words
 
 WINDOW = 13
-#: Bytes of item text in one automaton. More items are split into groups of this size, an automaton each.
+#: Bytes of item text that travel with the tasks of one pass, as one automaton. More items take further passes.
 GROUP_BYTES = 4 << 20
 #: A document is contaminated if it has hits and they are at least this share of its words (as 1 / SHARE).
 SHARE = 20
@@ -166,25 +166,34 @@ class Matcher:
                 yield a + end - n, a + end, names
 
 
-def spans(matchers: list[Matcher], block: Block) -> list[tuple[int, np.ndarray, set]]:
-    """For each row: how many words, which of them are hit, and the items whose windows occur."""
+def hits_by_row(matcher: Matcher, block: Block) -> list[tuple[int, list[tuple[int, int]], set]]:
+    """For each row: how many words, the hit words as disjoint (first, end) runs, and the items whose windows occur."""
     _, w, hashes = normalised(block.data, block.offsets)
-    edges, items = np.zeros(len(hashes) + 1, np.int64), {}
-    for m in matchers:
-        for a, b, names in m.hits(w, hashes):
-            edges[a] += 1
-            edges[b] -= 1
-            items.setdefault(a, set()).update(names)
-    hit = np.cumsum(edges[:-1]) > 0
-    by_row: dict[int, set] = {}
-    if items:
-        at = np.array(list(items))
-        for row, a in zip((np.searchsorted(w.first, at, "right") - 1).tolist(), at.tolist(), strict=True):
-            by_row.setdefault(row, set()).update(items[a])
-    return [(b - a, hit[a:b], by_row.get(k, set())) for k, (a, b) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True))]
-
-
-def item_groups(benchmark: DataFrame, limit: int = GROUP_BYTES) -> Iterator[list[tuple[str, bytes]]]:
+    out: list[tuple[int, list, set]] = [(n, [], set()) for n in np.diff(w.first).tolist()]
+    found = sorted(((a, b, names) for a, b, names in matcher.hits(w, hashes)), key=lambda x: x[:2])
+    rows = np.searchsorted(w.first, [a for a, _, _ in found], "right") - 1
+    for row, (a, b, names) in zip(rows.tolist(), found, strict=True):
+        _, runs, items = out[row]
+        a, b = a - int(w.first[row]), b - int(w.first[row])
+        if runs and a <= runs[-1][1]:
+            runs[-1] = (runs[-1][0], max(b, runs[-1][1]))
+        else:
+            runs.append((a, b))
+        items.update(names)
+    return out
+
+
+def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(runs):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def item_groups(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str, bytes]]]:
     """(item_id as text, text) in groups of bounded bytes; the driver holds one group at a time."""
     group, size = [], 0
     rows = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t")).filter("i IS NOT NULL AND t IS NOT NULL")
@@ -199,19 +208,57 @@ def item_groups(benchmark: DataFrame, limit: int = GROUP_BYTES) -> Iterator[list
         yield group
 
 
-def _scan(groups: list[list[tuple[str, bytes]]], window: int, share: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+_FOUND = {"__words": pa.int64(), "__runs": pa.binary(), "__items": pa.string()}
+
+
+def _with_hits(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    """The documents with what was found in each, in further columns: words, hit runs, item ids.
+
+    One pass over the text takes GROUP_BYTES of items. A larger benchmark takes a pass for each group, and what
+    the passes before it found is written with the documents, so a task never holds more than one group.
+    """
+    names, at = docs.columns, docs.columns.index("text")
+    schema = ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema), "__words long", "__runs binary", "__items string"])
+    df, first = docs, True
+    groups = item_groups(benchmark, GROUP_BYTES)
+    group = next(groups, [])
+    while group is not None:
+        df = df.mapInArrow(_add(group, window, len(names), at, first), schema)
+        group, first = next(groups, None), False
+        if group is not None:
+            df = materialize(df, "hits")
+    return df
+
+
+def _add(group: list[tuple[str, bytes]], window: int, width: int, at: int, first: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matchers = [Matcher(g, window) for g in groups]
+        matcher = Matcher(group, window)
         for b in batches:
-            names = b.column(0).to_pylist()
-            for x in blocks(b.column(1)):
-                rows = spans(matchers, x)
-                n, hit = [r[0] for r in rows], [int(r[1].sum()) for r in rows]
-                yield batch(
-                    _ROWS, doc_id=names[x.lo : x.hi], n_words=n, n_hit=hit, n_items=[len(r[2]) for r in rows],
-                    items_sha256=[hashlib.sha256(",".join(sorted(r[2])).encode()).hexdigest() for r in rows],
-                    contaminated=[h > 0 and share * h >= k for h, k in zip(hit, n, strict=True)],
-                )
+            count, runs, items = [], [], []
+            for x in blocks(b.column(at)):
+                for n, hit, names in hits_by_row(matcher, x):
+                    count.append(n)
+                    runs.append(hit)
+                    items.append(names)
+            if not first:
+                before = [b.column(width + k).to_pylist() for k in (1, 2)]
+                runs = [merged([*hit, *map(tuple, np.frombuffer(old, "<i8").reshape(-1, 2).tolist())]) for hit, old in zip(runs, before[0], strict=True)]
+                items = [names | set(filter(None, old.split(","))) for names, old in zip(items, before[1], strict=True)]
+            more = [pa.array(count, pa.int64()), pa.array([np.array(r, "<i8").tobytes() for r in runs], pa.binary()), pa.array([",".join(sorted(i)) for i in items], pa.string())]
+            yield pa.RecordBatch.from_arrays([b.column(k) for k in range(width)] + more, names=[*b.schema.names[:width], *_FOUND])
+
+    return run
+
+
+def _digest(share: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, items = b.column(2).to_pylist(), b.column(4).to_pylist()
+            hit = [int(np.diff(np.frombuffer(r, "<i8").reshape(-1, 2)).sum()) for r in b.column(3).to_pylist()]
+            yield batch(
+                _ROWS, doc_id=b.column(0), n_words=n, n_hit=hit, n_items=[len(list(filter(None, x.split(",")))) for x in items],
+                items_sha256=[hashlib.sha256(x.encode()).hexdigest() for x in items], contaminated=[h > 0 and share * h >= k for h, k in zip(hit, n, strict=True)],
+            )
 
     return run
 
@@ -221,25 +268,21 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int
 
     Null and empty texts have no words; items without words have no windows; items that share an id count
     once. A repeated document row gives a repeated result row, an empty benchmark hits nothing, and other
-    columns are ignored. The items travel with the tasks in groups of GROUP_BYTES; a benchmark is a fixed
-    test set, and every group is bounded however many there are.
+    columns are ignored.
     """
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_scan(list(item_groups(benchmark)), window, share), _ROWS)
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return _with_hits(rows, benchmark, window).mapInArrow(_digest(share), _ROWS)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE) -> DataFrame:
-    """The documents that are not contaminated, with all their columns, in one pass over their text."""
-    fields = docs.columns
-    at = docs.schema.fieldNames().index("text")
-    groups = list(item_groups(benchmark))
+    """The documents that are not contaminated, with all their columns."""
+    names, at = docs.columns, len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matchers = [Matcher(g, window) for g in groups]
         for b in batches:
-            keep = np.ones(b.num_rows, bool)
-            for x in blocks(b.column(at)):
-                for k, (n, hit, _) in enumerate(spans(matchers, x)):
-                    keep[x.lo + k] = not (hit.any() and share * int(hit.sum()) >= n)
-            yield b.filter(pa.array(keep))
+            hit = [int(np.diff(np.frombuffer(r, "<i8").reshape(-1, 2)).sum()) for r in b.column(at + 1).to_pylist()]
+            keep = [not (h and share * h >= n) for h, n in zip(hit, b.column(at).to_pylist(), strict=True)]
+            kept = b.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([kept.column(k) for k in range(at)], names=names)
 
-    return docs.mapInArrow(run, docs.schema).select(fields)
+    return _with_hits(docs, benchmark, window).mapInArrow(run, docs.schema)

@@ -22,6 +22,8 @@ from larkspur.llm.common import batch, held_out
 
 #: Characters of training text for each language, documents read for them, and characters used of each.
 SAMPLE_CHARS, SAMPLE_ROWS, ROW_CHARS = 24_000, 200, 600
+#: Characters of all languages together, which bounds the broadcast tables to some 120 MB however many languages there are.
+ALL_CHARS = 240_000
 #: A text is parsed in lanes of this many characters; a phrase ends where a lane ends.
 LANE = 512
 #: Symbols besides "none": the most frequent characters of the samples.
@@ -132,7 +134,8 @@ def fit(docs: DataFrame) -> Model:
         rows_of[r.l] = rows_of.get(r.l, 0) + r.n
     for r in sorted(sample, key=lambda r: (r.l, r.h, r.t)):
         texts[r.l] = texts.get(r.l, "") + " " + normalise(r.t)
-    texts = {k: texts[k][:SAMPLE_CHARS] for k in sorted(texts, key=lambda k: (-rows_of[k], k)) if texts[k].strip()}
+    most = min(SAMPLE_CHARS, ALL_CHARS // max(1, len(texts)))
+    texts = {k: texts[k][:most] for k in sorted(texts, key=lambda k: (-rows_of[k], k)) if texts[k].strip()}
     counts: dict[str, int] = {}
     for v in texts.values():
         for c in v:
@@ -157,7 +160,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     Null texts and texts without a letter are `und` with score 0. Ties go to the language with the most rows. Repeated
     rows repeat, other columns are ignored, and without any learnt language all texts are `und`.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by SAMPLE_CHARS and the number of languages
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by ALL_CHARS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
