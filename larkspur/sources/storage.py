@@ -70,5 +70,8 @@ class Storage:
         context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), self._conf)
         context.rename(p, self._path(path), how)
 
+    def remove(self, path: str) -> None:
+        self._fs(path).delete(self._path(path), True)
+
     def data_files(self, folder: str) -> list[str]:
         return sorted(s.getPath().getName() for s in self._fs(folder).listStatus(self._path(folder)) if s.getPath().getName().startswith("part-") and s.getLen())
