@@ -2,28 +2,48 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.sources.storage import scratch
+from larkspur.sources.storage import Storage, scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialize(df: DataFrame, what: str) -> DataFrame:
+_scopes: list[list[str]] = []
+
+
+def materialize(df: DataFrame, what: str, keep: bool = False) -> DataFrame:
     """Writes the rows to the folder that all executors share and reads them back.
 
     That ends the lineage: a lost executor costs the tasks that it ran, nothing before them, and
-    what is read twice is computed once.
+    what is read twice is computed once. Inside `temporary` the files go when that ends, unless kept.
     """
     path = scratch(df.sparkSession, what)
+    if _scopes and not keep:
+        _scopes[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Removes what is materialized inside when it ends; what outlasts it must be kept and not depend on the rest."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        store = Storage(spark)
+        for path in _scopes.pop():
+            store.remove(path)
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that no label may be learnt from: crc32 of the id as text, modulo 4, is 2. A null id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))

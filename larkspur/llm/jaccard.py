@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import batch, materialize, partitions
+from larkspur.llm.common import batch, materialize, partitions, temporary
 from larkspur.llm.components import components
 from larkspur.llm.vectors import LOWER, NOT_SPACE, Block, Ranges, blocks, mix, words
 
@@ -342,8 +342,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     Rows that share a doc_id but not the text stay if either does; rows without a doc_id stay.
     """
-    by_id = join(docs).groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("names"), F.count("*").alias("n"))
-    by_id = materialize(by_id, "kept")
+    with temporary(docs.sparkSession):
+        by_id = join(docs).groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("names"), F.count("*").alias("n"))
+        by_id = materialize(by_id, "kept", keep=True)
     own = docs["doc_id"].cast("long")
     dropped, repeated = by_id.filter("NOT names").select("doc_id"), by_id.filter("names AND n > 1").select("doc_id")
     kept = docs.join(dropped, own == dropped["doc_id"], "left_anti")

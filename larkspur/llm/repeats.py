@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import batch, materialize, partitions
+from larkspur.llm.common import batch, materialize, partitions, temporary
 from larkspur.llm.vectors import Block, Ranges, blocks
 
 WIDTH = 400
@@ -249,7 +249,8 @@ def digest(docs: DataFrame) -> DataFrame:
     ids, loses everything if it has WIDTH bytes. Matches never cross rows. An empty table gives no row; other
     columns are ignored. Windows are compared by 64-bit hashes within an anchor's.
     """
-    spans = repeated_spans(docs).select("key", "n_removed", "n_spans", "kept_sha256")
+    with temporary(docs.sparkSession):
+        spans = materialize(repeated_spans(docs).select("key", "n_removed", "n_spans", "kept_sha256"), "digest", keep=True)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), text_key(F.col("text")).alias("key"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole"))
     none = F.lit(0).cast("long")
@@ -264,7 +265,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     A character that a span covers in part stays.
     """
     names = docs.columns
-    spans = repeated_spans(docs).select(F.col("key").alias("__key"), F.col("spans").alias("__spans"))
+    with temporary(docs.sparkSession):
+        spans = materialize(repeated_spans(docs).select(F.col("key").alias("__key"), F.col("spans").alias("__spans")), "spans", keep=True)
     joined = docs.join(spans, text_key(docs["text"]) == F.col("__key"), "left").select(*[docs[c] for c in names], "__spans")
     at, count = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
