@@ -37,12 +37,16 @@ BUCKETS, SLICES = 1 << 18, 256
 VERIFY_COST = 0.5
 #: Members that are verified against one set in one go; more are dealt to several tasks.
 MEMBERS = 1024
+#: Postings of a shingle, as estimated, beyond which they are dealt to several lists in the first round.
+LIST = 1 << 20
+#: Postings of a list that meet in one piece of the second round; longer lists are divided into pairs of shares.
+SHARE = 4096
 
 _U = np.uint64
 _FEATURES = "doc_id long,n long,node long,slice int,counts binary"
-_POSTINGS = "token long,node long,place long"
+_POSTINGS = "token long,part int,node long,place long"
 _SHARED = "token long,node long,place long,leader long,leader_place long"
-_PAIRS = "a long,b long,need int,matches_a long,matches_b long"
+_PAIRS = "a long,b long,need int"
 
 
 def shingles(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,7 +145,7 @@ def choose_matches(cost: np.ndarray, row: np.ndarray, first: np.ndarray) -> tupl
     return best, np.where(n > 0, np.minimum(n - needed + best, n), 0)
 
 
-def _postings(table: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _postings(table: np.ndarray, longest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # equal sets of a task are posted once
         for b in batches:
@@ -157,48 +161,50 @@ def _postings(table: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterato
                 position = np.arange(len(value)) - first[row]
                 use = position < length[row]
                 at = row[use]
-                yield batch(_POSTINGS, token=value[use].view(np.int64), node=names[at], place=pack(np.diff(first)[at], matches[at], position[use]))
+                # Part 0 is a whole list. The parts of a divided one count from 1 and come together again in the second round.
+                parts = cost[use] // longest + 1
+                part = np.where(parts > 1, (mix(names[at].view(np.uint64)) % parts.astype(np.uint64)).astype(np.int64) + 1, 0)
+                yield batch(_POSTINGS, token=value[use].view(np.int64), part=part, node=names[at], place=pack(np.diff(first)[at], matches[at], position[use]))
 
     return run
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of postings sorted by token, place and node: those of tokens in two nodes at least, with the list's first."""
-    token = leader = place = last = None  # of the list that the last batch ended in; last: its latest node
-    alone = False  # the leader is not out yet
+    """Of postings sorted by token, part, an order of nodes: those of lists with two nodes at least, with the list's first.
+
+    A part of a divided list is kept even if it has one node, since the list may go on in another part.
+    """
+    last: tuple | None = None  # the latest row
+    leader: tuple | None = None  # (node, place) that its list begins with
+    waiting = False  # that first row is not out, since it is alone so far
     for b in batches:
-        t, node, p = (b.column(k).to_numpy() for k in range(3))
-        if not len(t):
-            continue
-        begins = np.ones(len(t), bool)
-        begins[1:] = t[1:] != t[:-1]
-        fresh = np.ones(len(t), bool)
-        fresh[1:] = begins[1:] | (node[1:] != node[:-1])
-        going_on = token is not None and t[0] == token
-        if going_on:
-            begins[0], fresh[0] = False, node[0] != last
-        t, node, p, begins = t[fresh], node[fresh], p[fresh], begins[fresh]
+        t, part, node, p = (b.column(k).to_numpy() for k in range(4))
         if not len(t):
             continue
-        starts = np.flatnonzero(begins)
-        group = np.cumsum(begins) - 1  # -1: the list of the last batch
-        first_node, first_place = node[starts], p[starts]
-        if going_on:
-            first_node, first_place, group = np.concatenate([[leader], first_node]), np.concatenate([[place], first_place]), group + 1
-        size = np.bincount(group, minlength=len(first_node))
-        out = size[group] > 1
-        ends_alone = size[-1] == 1
-        if going_on:
-            if size[0]:
-                out[group == 0] = True
-                if alone:
-                    yield batch(_SHARED, token=[token], node=[leader], place=[place], leader=[leader], leader_place=[place])
-                    alone = False
-            if len(first_node) == 1:
-                ends_alone = alone
-        token, leader, place, last, alone = t[-1], first_node[-1], first_place[-1], node[-1], bool(ends_alone)
-        g = group[out]
-        yield batch(_SHARED, token=t[out], node=node[out], place=p[out], leader=first_node[g], leader_place=first_place[g])
+        same_list, same_node = np.zeros(len(t), bool), np.zeros(len(t), bool)
+        same_list[1:] = (t[1:] == t[:-1]) & (part[1:] == part[:-1])
+        same_node[1:] = node[1:] == node[:-1]
+        if last is not None:
+            same_list[0], same_node[0] = last[:2] == (t[0], part[0]), last[2] == node[0]
+        fresh = ~(same_list & same_node)  # an equal set of another task is posted again
+        final = (int(t[-1]), int(part[-1]), int(node[-1]))
+        t, part, node, p, begins = t[fresh], part[fresh], node[fresh], p[fresh], ~same_list[fresh]
+        if len(t):
+            group = np.cumsum(begins) - int(begins[0])  # 0: the list of the first row
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1])
+            first_node, first_place = node[starts].copy(), p[starts].copy()
+            size = np.bincount(group)
+            if not begins[0]:
+                first_node[0], first_place[0] = leader
+                size[0] += 1
+                if waiting:
+                    yield batch(_SHARED, token=t[:1], node=[leader[0]], place=[leader[1]], leader=[leader[0]], leader_place=[leader[1]])
+            out = (size[group] > 1) | (part > 0)
+            waiting = not out[-1]
+            leader = (int(first_node[-1]), int(first_place[-1]))
+            g = group[out]
+            yield batch(_SHARED, token=t[out], node=node[out], place=p[out], leader=first_node[g], leader_place=first_place[g])
+        last = final
 
 
 def allowed(place: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -210,41 +216,45 @@ def allowed(place: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of postings sorted by token and place: pairs of one token in different components that may be similar."""
-    rest: list[np.ndarray] | None = None
+    """Of postings sorted by token, first and second share, and place: pairs in different components that may be similar."""
 
-    def pairs(node: np.ndarray, place: np.ndarray, component: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if (component == component[0]).all():
+    def pairs(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        _, first, second, share, node, place, component = (np.concatenate(x) for x in zip(*held, strict=True))
+        if len(node) < 2 or (component == component[0]).all():
             return
+        within = first[0] == second[0]
         size = place >> 32  # ascending
         reach = np.searchsorted(size, size * DENOMINATOR // NUMERATOR, "right")  # larger sets are not similar
         for lo in range(0, len(node), 256):
             i = np.arange(lo, min(lo + 256, len(node)))
             for at in range(lo + 1, int(reach[i[-1]]), 65536):
                 j = np.arange(at, min(at + 65536, int(reach[i[-1]])))
-                a, b = np.nonzero((i[:, None] < j[None, :]) & (component[i][:, None] != component[j][None, :]))
+                meet = (i[:, None] < j[None, :]) & (component[i][:, None] != component[j][None, :])
+                a, b = np.nonzero(meet if within else meet & (share[i][:, None] != share[j][None, :]))
                 a, b = i[a], j[b]
                 fits, need = allowed(place[a], place[b])
-                a, b = a[fits], b[fits]
+                a, b = node[a[fits]], node[b[fits]]
                 if len(a):
-                    swap = node[a] > node[b]
-                    a, b = np.where(swap, b, a), np.where(swap, a, b)
-                    yield batch(_PAIRS, a=node[a], b=node[b], need=need[fits], matches_a=component[a], matches_b=component[b])
+                    yield batch(_PAIRS, a=np.minimum(a, b), b=np.maximum(a, b), need=need[fits])
 
-    for b in batches:
-        now = [b.column(k).to_numpy() for k in range(4)]
-        if rest is not None:
-            now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
-        t = now[0]
-        if not len(t):
+    held: list[tuple[np.ndarray, ...]] = []
+    for x in batches:
+        now = tuple(x.column(k).to_numpy() for k in range(7))
+        if not x.num_rows:
             continue
-        cuts = np.concatenate([[0], np.flatnonzero(t[1:] != t[:-1]) + 1])
-        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            if hi - lo > 1:
-                yield from pairs(*(x[lo:hi] for x in now[1:]))
-        rest = [x[cuts[-1] :] for x in now]
-    if rest is not None and len(rest[0]) > 1:
-        yield from pairs(*rest[1:])
+        keys = np.stack(now[:3], 1)
+        cuts = (np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist()
+        if held and tuple(keys[0]) != tuple(column[0] for column in held[-1][:3]):
+            yield from pairs(held)
+            held = []
+        before = 0
+        for cut in cuts:
+            held.append(tuple(column[before:cut] for column in now))
+            yield from pairs(held)
+            held, before = [], cut
+        held.append(tuple(column[before:] for column in now))
+    if held:
+        yield from pairs(held)
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,18 +282,16 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch("a long,b long", a=left, b=right)
 
 
-def verify(docs: DataFrame, where: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are similar; `where` has a document of each node.
+def verify(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets are similar; `texts` has (node, text).
 
-    The text of b goes to where the texts of its a's are; a key with many members is dealt to several tasks.
+    The text of a goes to where the texts of its b's are; a key with many members is dealt to several tasks.
     """
-    spark = docs.sparkSession
     per_key = pairs.groupBy("b").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("salts"))
     keyed = pairs.join(per_key, "b").select(F.col("b").alias("key"), F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"), F.col("a").alias("node"))
     own = per_key.select(F.col("b").alias("key"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("b").alias("node"))
-    wanted = keyed.union(own).join(where, "node")
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted, "doc_id").select("key", "salt", "role", "node", "text")
-    dealt = texts.repartition(partitions(spark), "key", "salt").sortWithinPartitions("key", "salt", "role")
+    wanted = keyed.union(own).join(texts, "node").select("key", "salt", "role", "node", "text")
+    dealt = wanted.repartition(partitions(pairs.sparkSession), "key", "salt").sortWithinPartitions("key", "salt", "role")
     return dealt.mapInArrow(_verify, "a long,b long")
 
 
@@ -303,18 +311,28 @@ def join(docs: DataFrame) -> DataFrame:
     table = spark.sparkContext.broadcast(count_table(features))  # BUCKETS longs
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _postings(table.value)(batches)
+        yield from _postings(table.value, longest)(batches)
 
-    posted = rows.select("text").mapInArrow(post, _POSTINGS).repartition(n, "token").sortWithinPartitions("token", "place", "node")
+    longest = LIST
+    posted = rows.select("text").mapInArrow(post, _POSTINGS).repartition(n, "token", "part")
+    # Of the sets with a shingle, the one with the fewest rarer shingles for its size is the most central, and comes first.
+    posted = posted.sortWithinPartitions("token", "part", F.expr(f"(place & {(1 << 29) - 1}) / (place >> 32)"), "node")
     shared = materialize(posted.mapInArrow(_shared, _SHARED), "shared")
 
     where = features.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    edges = materialize(verify(rows, where, leaders(shared)), "links")
+    texts = rows.join(where.join(shared.select("node").distinct(), "node"), "doc_id").select("node", "text")
+    texts = materialize(texts, "texts")
+    edges = materialize(verify(texts, leaders(shared)), "links")
     found = components(edges, "a", "b")
     labelled = shared.join(found.withColumnRenamed("component", "c"), "node", "left").select("token", "node", "place", F.coalesce("c", "node").alias("component"))
-    crossing = labelled.repartition(n, "token").sortWithinPartitions("token", "place", "node").mapInArrow(_cross, _PAIRS)
+    # Only lists with several components go on, the long ones as pairs of shares.
+    lists = labelled.groupBy("token").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+    dealt = labelled.join(lists.select("token", F.ceil(F.col("n") / SHARE).cast("int").alias("shares")), "token")
+    dealt = dealt.withColumn("share", F.pmod(F.xxhash64("node"), F.col("shares")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    dealt = dealt.select("token", F.least("share", "other").alias("first"), F.greatest("share", "other").alias("second"), "share", "node", "place", "component")
+    crossing = dealt.repartition(n, "token", "first", "second").sortWithinPartitions("token", "first", "second", "place", "node").mapInArrow(_cross, _PAIRS)
     pairs = crossing.groupBy("a", "b").agg(F.count("*").alias("k"), F.min("need").alias("need")).filter("k >= need").select("a", "b")
-    edges = edges.union(verify(rows, where, materialize(pairs, "pairs")))
+    edges = edges.union(verify(texts, materialize(pairs, "pairs")))
     found = components(edges, "a", "b")
 
     named = where.join(found, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))

@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from larkspur.llm import embeddings, jaccard
@@ -87,23 +88,38 @@ def test_deduplicated_keeps_one_of_each(documents, hostile):
     assert kept.filter("doc_id = 9").count() == 0 and kept.filter("doc_id = -5").count() == 1 and kept.filter("doc_id IS NULL").count() == 2
 
 
+@pytest.mark.parametrize("name", ["LIST", "SHARE", "MEMBERS"])
+def test_divided_lists_give_the_same(documents, words, monkeypatch, name):
+    monkeypatch.setattr(jaccard, name, 3)
+    base, passage = words.text(60), words.text(40)
+    rows = [(k, words.vary(base, 0.03)) for k in range(40)] + [(k, passage + " " + words.text(14)) for k in range(40, 80)]
+    assert joined(documents(rows)) == brute(rows)
+
+
 def test_streams_do_not_depend_on_batches():
     """Postings and crossing pairs are the same however the sorted rows are cut into batches."""
-    import pyarrow as pa
-
     rng = np.random.default_rng(2)
     n = 400
-    token, node = np.sort(rng.integers(0, 60, n)), rng.integers(0, 30, n)
-    place = jaccard.pack(np.full(n, 10), np.ones(n, int), rng.integers(0, 2, n))
-    order = np.lexsort((node, place, token))
-    rows = pa.RecordBatch.from_arrays([pa.array(x[order]) for x in (token, node, place, node // 3)], names=["token", "node", "place", "component"])
-    for run, columns in ((jaccard._shared, 3), (jaccard._cross, 4)):
-        some = rows.select(list(range(columns)))
-        results = []
-        for size in (1, 2, 3, 7, 50, n):
-            out = [b for b in run(iter([some.slice(k, size) for k in range(0, n, size)]))]
-            results.append(sorted(map(str, pa.Table.from_batches(out).to_pylist())))
-        assert all(r == results[0] for r in results) and results[0]
+    token, node = rng.integers(0, 60, n), rng.integers(0, 30, n)
+    part = np.where(token % 7 == 0, node % 3 + 1, 0)
+    place = jaccard.pack(np.full(n, 10), np.ones(n, int), node % 2)
+    order = np.lexsort((node, place, part, token))
+    token, part, node, place = token[order], part[order], node[order], place[order]
+    postings = pa.table({"token": token, "part": part, "node": node, "place": place}).combine_chunks().to_batches()[0]
+    expected = set()
+    for t, k in set(zip(token.tolist(), part.tolist(), strict=True)):
+        rows = sorted({(p, v) for a, b, v, p in zip(token.tolist(), part.tolist(), node.tolist(), place.tolist(), strict=True) if (a, b) == (t, k)})
+        if len(rows) > 1 or k:
+            expected |= {(t, v, p, rows[0][1], rows[0][0]) for p, v in rows}
+    first, second = np.zeros(n, int), (token % 3 == 0).astype(int)
+    crossing = pa.table({"token": token, "first": first, "second": second, "share": np.where(second, node % 2, 0), "node": node, "place": place, "component": node // 3}).combine_chunks().to_batches()[0]
+    results = []
+    for size in (1, 2, 3, 7, 50, n):
+        cut = lambda rows, size=size: iter([rows.slice(k, size) for k in range(0, n, size)])
+        shared = [tuple(r.values()) for b in jaccard._shared(cut(postings)) for r in b.to_pylist()]
+        assert len(shared) == len(set(shared)) and set(shared) == expected
+        results.append(sorted(str(r) for b in jaccard._cross(cut(crossing)) for r in b.to_pylist()))
+    assert all(r == results[0] for r in results) and results[0]
 
 
 def test_components(spark):
