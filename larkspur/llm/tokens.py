@@ -36,7 +36,7 @@ _PUNCTUATION[0x30:0x3A] = False
 class Encoder:
     """ids of rows, with a bounded cache of pieces."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 250_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         model = json.loads(self.tokenizer.to_str())

@@ -5,6 +5,7 @@ All of them work on the bytes of many rows at once, so no operator loops over ch
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -17,6 +18,7 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 #: 64 random-looking bits for each byte value.
 _SYMBOLS = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _powers: dict[int, np.ndarray] = {}
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -39,7 +41,14 @@ class Block(NamedTuple):
     offsets: np.ndarray
 
 
-def blocks(column: pa.Array, limit: int = 1 << 21) -> Iterator[Block]:
+def release() -> None:
+    """Gives freed memory back to the system: executors keep Python workers from one stage to the next."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def blocks(column: pa.Array, limit: int = 1 << 20) -> Iterator[Block]:
     """Views of a string or binary column of about `limit` bytes each; a longer row is a block of its own. Null is empty."""
     column = column.cast(pa.large_binary())
     if not len(column):
@@ -52,6 +61,7 @@ def blocks(column: pa.Array, limit: int = 1 << 21) -> Iterator[Block]:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
         yield Block(lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
         lo = hi
+    release()
 
 
 def _power(base: int, n: int) -> np.ndarray:
