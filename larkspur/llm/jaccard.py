@@ -325,6 +325,7 @@ def join(docs: DataFrame) -> DataFrame:
     edges = materialize(verify(texts, leaders(shared)), "links")
     found = components(edges, "a", "b")
     labelled = shared.join(found.withColumnRenamed("component", "c"), "node", "left").select("token", "node", "place", F.coalesce("c", "node").alias("component"))
+    labelled = materialize(labelled, "labelled")
     # Only lists with several components go on, the long ones as pairs of shares.
     lists = labelled.groupBy("token").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
     dealt = labelled.join(lists.select("token", F.ceil(F.col("n") / SHARE).cast("int").alias("shares")), "token")
