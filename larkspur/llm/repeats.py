@@ -18,8 +18,10 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,14 +33,14 @@ WIDTH = 400
 #: Bytes of an anchor.
 RUN = 192
 #: Text that is sorted at once, and bytes of a chunk.
-BLOCK_BYTES, CHUNK_BYTES = 1 << 20, 8 << 20
+BLOCK_BYTES, CHUNK_BYTES = 1 << 20, 4 << 20
 #: Suffixes by their distance from the anchor, so that a frequent anchor is several groups.
 PART = 64
 
 _U = np.uint64
 _ANCHORS = "key binary,doc_id long,anchor long,times int"
-_WINDOWS = "chunk long,anchor long,part int,hashes binary,known binary"
-_MASKS = "chunk long,anchor long,part int,mask binary"
+_WINDOWS = "chunk long,run int,anchor long,part int,hashes binary,known binary"
+_MASKS = "chunk long,run int,mask binary"
 _SPANS = "key binary,spans binary,n_removed long,n_spans long,kept_sha256 string"
 
 
@@ -96,53 +98,55 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _chunk_windows(table: pa.Table) -> Iterator[tuple[Block, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """By block of a chunk: candidate suffixes' start, row, anchor, part and window."""
-    for column, lists, base in _columns(table):
-        wanted = np.unique(lists.flatten().to_numpy())
-        for x in blocks(column, BLOCK_BYTES):
-            s = Suffixes(x)
-            at = np.minimum(np.searchsorted(wanted, s.anchor), len(wanted) - 1)
-            use = np.flatnonzero(wanted[at] == s.anchor) if len(wanted) and len(s.anchor) else np.zeros(0, np.int64)
-            shifted = Block(x.lo + base, x.hi + base, x.data, x.offsets)
-            yield shifted, s.start[use], s.row[use], s.anchor[use], (s.at[use] - s.start[use]) // PART, s.windows(use) if len(use) else np.zeros(0, np.uint64)
-
-
-def _columns(table: pa.Table) -> Iterator[tuple[pa.Array, pa.Array, int]]:
-    base = 0
-    for b in table.to_batches():
-        yield b.column("text"), b.column("anchors"), base
-        base += b.num_rows
-
-
-def _unique(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The chunk's distinct (anchor, part, window), in that order, and whether each is known to be repeated."""
-    copied = np.array(table.column("copied").to_pylist(), bool)
-    found: list[list[np.ndarray]] = [[], [], [], []]
-    for x, _, row, anchor, part, window in _chunk_windows(table):
-        for out, value in zip(found, (anchor, part, window, copied[x.lo + row]), strict=True):
-            out.append(value)
-    if not found[0]:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
-    anchor, part, window, known = (np.concatenate(x) for x in found)
-    order = np.lexsort((window, part, anchor))
-    anchor, part, window, known = anchor[order], part[order], window[order], known[order]
-    new = np.ones(len(window), bool)
-    new[1:] = (window[1:] != window[:-1]) | (part[1:] != part[:-1]) | (anchor[1:] != anchor[:-1])
-    first = np.flatnonzero(new)
-    if not len(first):
-        return anchor, part, window, known
-    times = np.diff(np.append(first, len(window)))
-    return anchor[first], part[first], window[first], np.logical_or.reduceat(known, first) | (times > 1)
+@dataclass
+class Chunk:
+    """The candidate suffixes of a chunk's texts, in one order however its rows come, and their distinct windows."""
+
+    keys: list[bytes]
+    copied: np.ndarray
+    blocks: list[tuple[Block, np.ndarray]]  # with the candidates' starts
+    code: np.ndarray  # of each candidate, its window's number
+    anchor: np.ndarray  # of each distinct window, as are the next three
+    part: np.ndarray
+    window: np.ndarray
+    known: np.ndarray  # it occurs twice here, or in a text with copies
+
+    @classmethod
+    def of(cls, table: pa.Table) -> Chunk:
+        keys = table.column("key").to_pylist()
+        order = sorted(range(len(keys)), key=keys.__getitem__)
+        table = table.take(order).combine_chunks()
+        copied = np.array(table.column("copied").to_pylist(), bool)
+        found: list[list[np.ndarray]] = [[], [], [], []]
+        kept = []
+        for b in table.to_batches():
+            wanted = np.unique(b.column("anchors").flatten().to_numpy())
+            for x in blocks(b.column("text"), BLOCK_BYTES):
+                s = Suffixes(x)
+                at = np.minimum(np.searchsorted(wanted, s.anchor), len(wanted) - 1)
+                use = np.flatnonzero(wanted[at] == s.anchor) if len(wanted) and len(s.anchor) else np.zeros(0, np.int64)
+                kept.append((x, s.start[use]))
+                if len(use):
+                    for out, value in zip(found, (s.anchor[use], (s.at[use] - s.start[use]) // PART, s.windows(use), copied[x.lo + s.row[use]]), strict=True):
+                        out.append(value)
+        keys = [keys[k] for k in order]
+        if not found[0]:
+            none = np.zeros(0, np.int64)
+            return cls(keys, copied, kept, none, none, none, none.view(np.uint64), none > 0)
+        anchor, part, window, known = (np.concatenate(x) for x in found)
+        code, window = pd.factorize(window)
+        first = np.flatnonzero(np.diff(np.maximum.accumulate(code), prepend=-1))
+        return cls(keys, copied, kept, code, anchor[first], part[first], window, (np.bincount(code) > 1) | (np.bincount(code, known) > 0))
 
 
 def _windows(key: tuple, table: pa.Table) -> pa.Table:
-    anchor, part, window, known = _unique(table)
-    cut = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1])])) if len(anchor) else np.zeros(0, np.int64)
-    ends = np.append(cut[1:], len(anchor)) if len(cut) else cut
-    raw, bits = window.tobytes(), known.astype(np.uint8).tobytes()
+    """The distinct windows of a chunk in runs of one anchor and part."""
+    c = Chunk.of(table)
+    cut = np.flatnonzero(np.concatenate([[True], (c.anchor[1:] != c.anchor[:-1]) | (c.part[1:] != c.part[:-1])])) if len(c.anchor) else np.zeros(0, np.int64)
+    ends = np.append(cut[1:], len(c.anchor)) if len(cut) else cut
+    raw, bits = c.window.tobytes(), c.known.astype(np.uint8).tobytes()
     pairs = list(zip(cut.tolist(), ends.tolist(), strict=True))
-    return pa.Table.from_batches([batch(_WINDOWS, chunk=np.full(len(cut), key[0].as_py()), anchor=anchor[cut], part=part[cut], hashes=[raw[8 * a : 8 * z] for a, z in pairs], known=[bits[a:z] for a, z in pairs])])
+    return pa.Table.from_batches([batch(_WINDOWS, chunk=np.full(len(cut), key[0].as_py()), run=np.arange(len(cut)), anchor=c.anchor[cut], part=c.part[cut], hashes=[raw[8 * a : 8 * z] for a, z in pairs], known=[bits[a:z] for a, z in pairs])])
 
 
 def _masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +164,7 @@ def _masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repeated = np.empty(len(value), bool)
         repeated[order] = np.repeat(np.logical_or.reduceat(sure[order], first) | (times > 1), times)
         raw, ends = repeated.astype(np.uint8).tobytes(), np.cumsum(n)
-        return batch(_MASKS, chunk=some.column("chunk").to_numpy(), anchor=some.column("anchor").to_numpy(), part=some.column("part").to_numpy(), mask=[raw[e - k : e] for e, k in zip(ends.tolist(), n.tolist(), strict=True)])
+        return batch(_MASKS, chunk=some.column("chunk").to_numpy(), run=some.column("run").to_numpy(), mask=[raw[e - k : e] for e, k in zip(ends.tolist(), n.tolist(), strict=True)])
 
     rest: pa.Table | None = None
     for b in batches:
@@ -181,31 +185,24 @@ def _masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _spans(key: tuple, table: pa.Table, masks: pa.Table) -> pa.Table:
     """The removed spans of a chunk's texts."""
-    empty = pa.Table.from_batches([batch(_SPANS, key=[], spans=[], n_removed=[], n_spans=[], kept_sha256=[])])
-    if not table.num_rows:
-        return empty
-    anchor, part, window, _ = _unique(table)
-    order = np.lexsort((masks.column("part").to_numpy(), masks.column("anchor").to_numpy()))
+    c = Chunk.of(table)
+    order = np.argsort(masks.column("run").to_numpy())
     column = masks.column("mask").to_pylist()
-    bits = np.frombuffer(b"".join(column[k] for k in order.tolist()), np.uint8) > 0  # in the order of _unique
-    if len(bits) != len(window):
+    repeated = np.frombuffer(b"".join(column[k] for k in order.tolist()), np.uint8) > 0  # in the order of the windows
+    if len(repeated) != len(c.window):
         raise ValueError("a chunk's windows changed between two passes")
-    repeated = np.unique(window[bits])
-    keys, copied = table.column("key").to_pylist(), np.array(table.column("copied").to_pylist(), bool)
     out: dict[str, list] = {name.split()[0]: [] for name in _SPANS.split(",")}
-    for x, start, row, _, _, found in _chunk_windows(table):
-        if len(repeated):
-            at = np.minimum(np.searchsorted(repeated, found), len(repeated) - 1)
-            hit = start[(repeated[at] == found)]
-        else:
-            hit = start[:0]
+    at = 0
+    for x, start in c.blocks:
+        hit = start[repeated[c.code[at : at + len(start)]]]
+        at += len(start)
         edges = np.zeros(len(x.data) + 1, np.int64)
         np.add.at(edges, hit, 1)
         np.add.at(edges, hit + WIDTH, -1)
         removed = np.cumsum(edges[:-1]) > 0
         raw = x.data.tobytes()
         for k, (a, z) in enumerate(zip(x.offsets[:-1].tolist(), x.offsets[1:].tolist(), strict=True)):
-            mask = np.ones(z - a, bool) if copied[x.lo + k] and z - a >= WIDTH else removed[a:z]
+            mask = np.ones(z - a, bool) if c.copied[x.lo + k] and z - a >= WIDTH else removed[a:z]
             if not mask.any():
                 continue
             turns = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
@@ -214,7 +211,7 @@ def _spans(key: tuple, table: pa.Table, masks: pa.Table) -> pa.Table:
             sha = hashlib.sha256()
             for p, q in zip(left[0].tolist(), left[1].tolist(), strict=True):
                 sha.update(raw[a + p : a + q])
-            for name, value in zip(out, (keys[x.lo + k], spans.astype("<i8").tobytes(), int(mask.sum()), len(spans), sha.hexdigest()), strict=True):
+            for name, value in zip(out, (c.keys[x.lo + k], spans.astype("<i8").tobytes(), int(mask.sum()), len(spans), sha.hexdigest()), strict=True):
                 out[name].append(value)
     return pa.Table.from_batches([batch(_SPANS, **out)])
 

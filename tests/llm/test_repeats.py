@@ -92,7 +92,7 @@ def test_streams_do_not_depend_on_batches():
     anchor, part = np.sort(rng.integers(0, 25, n)), np.zeros(n, np.int64)
     hashes = [np.unique(rng.integers(0, 9, 4)).astype(np.uint64) + np.uint64(100 * a) for a in anchor]
     known = [bytes(rng.integers(0, 2, len(h)).astype(np.uint8) * (rng.random() < 0.2)) for h in hashes]
-    rows = repeats.batch(repeats._WINDOWS, chunk=np.arange(n), anchor=anchor, part=part, hashes=[h.tobytes() for h in hashes], known=known)
+    rows = repeats.batch(repeats._WINDOWS, chunk=np.arange(n), run=np.arange(n), anchor=anchor, part=part, hashes=[h.tobytes() for h in hashes], known=known)
     results = [pa.Table.from_batches(list(repeats._masks(iter([rows.slice(k, size) for k in range(0, n, size)])))).to_pylist() for size in (1, 2, 5, 40, n)]
     assert all(r == results[0] for r in results)
     seen, sure = Counter(x for h in hashes for x in h.tolist()), {x for h, k in zip(hashes, known, strict=True) for x, y in zip(h.tolist(), k, strict=True) if y}
