@@ -3,8 +3,8 @@
 Words are runs of digits, lower-case letters and characters beyond ASCII, after A-Z are lowered. A
 passage is a line, a paragraph of several lines, or a whole text. With t the least coefficient, a
 passage of n bigrams can only match templates of between n * t / (2 - t) and n * (2 - t) / t bigrams;
-other templates are not compared. A passage that shares no bigram with any template is not compared
-at all, which is found for whole blocks of rows at once.
+other templates are not compared. A match also needs n * t / (2 - t) of the passage's bigrams to be in
+templates at all; passages that have fewer are ruled out for whole blocks of rows at once.
 """
 
 from __future__ import annotations
@@ -121,30 +121,24 @@ class Scanner:
         grams = _bigrams(_hashes(data, w.starts, w.ends))
         at = np.minimum(np.searchsorted(self.known, grams), len(self.known) - 1)
         known = np.concatenate([[0], np.cumsum(self.known[at] == grams)])  # bigram k joins words k and k + 1
-        ends_line = np.unique(np.concatenate([block.offsets, np.flatnonzero(data == 10)]))
-        line = np.unique(np.searchsorted(w.starts, ends_line))  # the first word of each line that has any
-        lines = [(a, b) for a, b in zip(line[:-1].tolist(), line[1:].tolist(), strict=True) if known[b - 1] > known[a]]
-        seen = set()
-        for a, b in lines:
-            row = int(np.searchsorted(w.first, a, "right")) - 1
-            first, last = int(w.first[row]), int(w.first[row + 1])
-            for p, q in ((a, b), self._paragraph(data, w.starts, w.ends, a, b, first, last), (first, last)):
-                if (p, q) in seen:
-                    continue
-                seen.add((p, q))
-                if q - p > 1 and known[q - 1] > known[p] and (found := self.match(grams[p : q - 1])):
-                    out[row].append(found)
+        newlines = np.concatenate([[0], np.cumsum(data == 10)])
+        between = np.zeros(len(w.starts), np.int64)  # newlines in front of each word
+        between[1:] = newlines[w.starts[1:]] - newlines[w.ends[:-1]]
+        between[w.first[:-1][w.first[:-1] < len(between)]] = 1 << 40
+        passages: set[tuple[int, int]] = set()
+        share = self.least / (2 - self.least)
+        for gap in (1, 2, 1 << 40):
+            begins = np.flatnonzero(between >= gap)
+            ends = np.append(begins[1:], len(between))
+            n = ends - begins - 1
+            # With n bigrams, at least share * n of them are in the template, which has share * n at least.
+            possible = (n > 0) & (n >= share * self.sizes[0]) & (share * n <= self.sizes[-1]) & (known[np.maximum(ends - 1, 0)] - known[begins] >= share * n - 1e-9)
+            passages.update(zip(begins[possible].tolist(), ends[possible].tolist(), strict=True))
+        for p, q in sorted(passages):
+            if found := self.match(grams[p : q - 1]):
+                out[int(np.searchsorted(w.first, p, "right")) - 1].append(found)
         return out
 
-    def _paragraph(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, a: int, b: int, first: int, last: int) -> tuple[int, int]:
-        """The words around a line up to an empty line on either side, as far as a template can reach."""
-        reach = int(self.sizes[-1] * (2 - self.least) / self.least) + 2
-        while a > first and b - a <= reach and (data[ends[a - 1] : starts[a]] == 10).sum() < 2:
-            a -= 1
-        while b < last and b - a <= reach and (data[ends[b - 1] : starts[b]] == 10).sum() < 2:
-            b += 1
-        return a, b
-
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST) -> DataFrame:
     """One row per document: how many passages match a licence, the best match and its coefficient, and all licences found.
