@@ -9,8 +9,6 @@ it and looks it up from then on.
 
 from __future__ import annotations
 
-import json
-
 import numpy as np
 import pandas as pd
 from tokenizers import Tokenizer
@@ -39,9 +37,8 @@ class Encoder:
     def __init__(self, path: str, most: int = 250_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        model = json.loads(self.tokenizer.to_str())
         self.most = most
-        self.byte_lengths = _byte_lengths(model) if model["normalizer"] is None else None
+        self.byte_lengths = _byte_lengths(self.tokenizer) if self.tokenizer.normalizer is None else None
         self.mark = None if self.byte_lengths is not None else self._mark()
         self._clear()
 
@@ -130,9 +127,9 @@ class Encoder:
         return self.ids[ragged(self.starts[place], lengths)], before[np.searchsorted(starts, offsets)]
 
 
-def _byte_lengths(model: dict) -> np.ndarray:
+def _byte_lengths(tokenizer: Tokenizer) -> np.ndarray:
     """Bytes of text that each id of a byte-level vocabulary stands for: its characters are one a byte."""
-    vocab = model["model"]["vocab"] | {x["content"]: x["id"] for x in model["added_tokens"]}
+    vocab = tokenizer.get_vocab(with_added_tokens=True)
     out = np.zeros(max(vocab.values()) + 1, np.int64)
     for text, k in vocab.items():
         out[k] = len(text)
