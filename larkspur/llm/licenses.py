@@ -1,10 +1,13 @@
 """Licence scan: text passages against licence templates by the Dice coefficient of word bigrams.
 
 Words are runs of digits, lower-case letters and characters beyond ASCII, after A-Z are lowered. A
-passage is a line, a paragraph of several lines, or a whole text. With t the least coefficient, a
-passage of n bigrams can only match templates of between n * t / (2 - t) and n * (2 - t) / t bigrams;
-other templates are not compared. A match also needs n * t / (2 - t) of the passage's bigrams to be in
-templates at all; passages that have fewer are ruled out for whole blocks of rows at once.
+passage is a line, a paragraph of several lines, a whole text, or any other run of lines, so a licence
+of several paragraphs is found within a longer text. Lines without words don't count. With t the least
+coefficient, a passage of n bigrams can only match templates of between n * t / (2 - t) and
+n * (2 - t) / t bigrams; other templates are not compared. A match also needs n * t / (2 - t) of the
+passage's bigrams to be in templates at all; passages that have fewer, and lines from which every run
+has fewer, are ruled out for whole blocks of rows at once. From a line that is left, the coefficients
+of all runs with all templates come from one pass over the words that the largest template allows.
 """
 
 from __future__ import annotations
@@ -100,6 +103,11 @@ class Scanner:
         self.templates.sort(key=lambda x: x[1].total())
         self.sizes = [x[1].total() for x in self.templates]
         self.known = np.unique(np.array([b for _, bag in self.templates for b in bag], np.uint64))
+        by_name = sorted(self.templates, key=lambda x: x[0])
+        self.names = np.array([name for name, _ in by_name])
+        self.totals = np.array([bag.total() for _, bag in by_name])[:, None]
+        # How often each template has each known bigram; the last column is for all other bigrams.
+        self.counts = np.array([[*(bag[b] for b in self.known.tolist()), 0] for _, bag in by_name])
 
     def match(self, grams: np.ndarray) -> tuple[float, str] | None:
         """The best template for a passage's bigrams, if it is good enough; of equals the first by name."""
@@ -111,8 +119,41 @@ class Scanner:
         best = min(((-dice(bag, b), name) for name, b in self.templates[lo:hi]), default=(0.0, ""))
         return (-best[0], best[1]) if -best[0] >= t else None
 
+    def _runs(self, kinds: np.ndarray, known: np.ndarray, begins: np.ndarray, ends: np.ndarray, last: np.ndarray) -> Iterator[tuple[float, str, int, int]]:
+        """From each line, the best run of two lines or more for each licence; of equals the shortest. `last` is the last line of each line's row."""
+        share = self.least / (2 - self.least)
+        hi = np.minimum(last, np.searchsorted(ends, begins + 2 + int(self.sizes[-1] / share + 1e-9), "left") - 1)
+        lines = np.flatnonzero(hi > np.arange(len(begins)))
+        if not len(lines):
+            return
+        # A run can only match if known bigrams less share * bigrams don't fall from its begin to its end.
+        at_begin, at_end = known[begins] - share * begins, known[ends - 1] - share * (ends - 1)
+        n = hi[lines] - lines
+        level, most = np.frexp(n)[1] - 1, np.full(len(lines), -np.inf)
+        highest = at_end  # of each line and the 2**k - 1 after it
+        for k in range(int(level.max()) + 1):
+            some = level == k
+            most[some] = np.maximum(highest[lines[some] + 1], highest[hi[lines[some]] - (1 << k) + 1])
+            highest = np.maximum(highest, np.append(highest[1 << k :], np.full(min(1 << k, len(highest)), -np.inf)))
+        for i in lines[most >= at_begin[lines] - 1e-6].tolist():
+            p, q = int(begins[i]), ends[i + 1 : hi[i] + 1]
+            some = kinds[p : q[-1] - 1]
+            order = np.argsort(some, kind="stable")
+            steps = np.arange(len(some))
+            rank = np.empty(len(some), np.int64)  # earlier bigrams of the run that equal it
+            rank[order] = steps - np.maximum.accumulate(np.where(np.diff(some[order], prepend=-1) != 0, steps, 0))
+            common = np.cumsum(self.counts[:, some] > rank, axis=1)
+            n = q - 1 - p
+            values = 2 * common[:, n - 1] / (n + self.totals)
+            best = np.argmax(values, axis=0)
+            value = values[best, np.arange(len(n))]
+            names = self.names[best]
+            for name in np.unique(names[value >= self.least]):
+                k = int(np.argmax(np.where(names == name, value, 0)))
+                yield float(value[k]), str(name), p, int(q[k])
+
     def rows(self, block: Block) -> list[list[tuple[float, str]]]:
-        """For each row the matches of its passages: lines, paragraphs of several lines, the whole text."""
+        """For each row the matches of its passages: lines, paragraphs of several lines, the whole text, runs of lines."""
         data = LOWER[block.data]
         w = words(data, block.offsets, ALNUM)
         out: list[list[tuple[float, str]]] = [[] for _ in range(block.hi - block.lo)]
@@ -120,7 +161,8 @@ class Scanner:
             return out
         grams = _bigrams(_hashes(data, w.starts, w.ends))
         at = np.minimum(np.searchsorted(self.known, grams), len(self.known) - 1)
-        known = np.concatenate([[0], np.cumsum(self.known[at] == grams)])  # bigram k joins words k and k + 1
+        kinds = np.where(self.known[at] == grams, at, len(self.known))
+        known = np.concatenate([[0], np.cumsum(kinds < len(self.known))])  # bigram k joins words k and k + 1
         newlines = np.concatenate([[0], np.cumsum(data == 10)])
         between = np.zeros(len(w.starts), np.int64)  # newlines in front of each word
         between[1:] = newlines[w.starts[1:]] - newlines[w.ends[:-1]]
@@ -134,15 +176,26 @@ class Scanner:
             # With n bigrams, at least share * n of them are in the template, which has share * n at least.
             possible = (n > 0) & (n >= share * self.sizes[0]) & (share * n <= self.sizes[-1]) & (known[np.maximum(ends - 1, 0)] - known[begins] >= share * n - 1e-9)
             passages.update(zip(begins[possible].tolist(), ends[possible].tolist(), strict=True))
-        for p, q in sorted(passages):
-            if found := self.match(grams[p : q - 1]):
-                out[int(np.searchsorted(w.first, p, "right")) - 1].append(found)
+        found = [(*x, p, q, False) for p, q in sorted(passages) if (x := self.match(grams[p : q - 1]))]
+        begins = np.flatnonzero(between)
+        ends = np.append(begins[1:], len(between))
+        last = np.searchsorted(begins, w.first[np.searchsorted(w.first, begins, "right")]) - 1
+        found += [(*x, True) for x in self._runs(kinds, known, begins, ends, last) if x[2:] not in passages]
+        # A run counts if it overlaps no match of its licence that is as good.
+        taken: dict[str, np.ndarray] = {}
+        for d, name, p, q, run in sorted(found, key=lambda x: (-x[0], x[4], x[2], x[3])):
+            words_taken = taken.setdefault(name, np.zeros(len(between), bool))
+            if not (run and words_taken[p:q].any()):
+                out[int(np.searchsorted(w.first, p, "right")) - 1].append((d, name))
+                words_taken[p:q] = True
         return out
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST) -> DataFrame:
     """One row per document: how many passages match a licence, the best match and its coefficient, and all licences found.
 
+    Of runs of lines, other than paragraphs and the whole text, only the best from each line for each licence counts, and
+    only if it overlaps no other match of that licence that is as good; one more or less line makes no further match.
     Without a match, as for null and empty texts, license is null, dice is 0 and licenses is empty. Repeated rows
     repeat, other columns are ignored. The best match is the one with the largest coefficient, then the first by name.
     """

@@ -129,3 +129,46 @@ def test_several_licences(documents):
     rows = [(1, "Released under the MIT License.\nblah blah\nLicensed under CC BY-NC 4.0.\n\nAll rights reserved.")]
     (r,) = licenses.scan(documents(rows)).collect()
     assert (r.n_matches, r.dice, r.licenses) == (3, 1.0, "CC-BY-NC-4.0,LicenseRef-proprietary,MIT") and r.license == "CC-BY-NC-4.0"
+
+
+MIT = next(t for n, t in licenses.TEMPLATES if n == "MIT" and len(t) > 500)
+MIT_PARAGRAPHS = [MIT[: (a := MIT.index("The above"))], MIT[a : (b := MIT.index("THE SOFTWARE IS"))], MIT[b:]]
+
+
+def runs(text, templates, least):
+    """All runs of lines with words, all templates, no bounds: the best match and all licences."""
+    lines, found = [w for x in text.split("\n") if (w := split(x))], set()
+    for i in range(len(lines)):
+        for j in range(i, len(lines)):
+            b = bag([w for x in lines[i : j + 1] for w in x])
+            if best := min(((-d, n) for n, t in templates if (d := licenses.dice(b, t)) >= least), default=None):
+                found.add(best)
+    return min(found, default=(0.0, None)), ",".join(sorted({n for _, n in found}))
+
+
+def test_licence_of_several_paragraphs_in_a_long_document(documents, words):
+    wrapped = "\n".join(" * " + x for p in MIT_PARAGRAPHS for x in [*re.findall(r"(?:\S+\s*){1,11}", p), ""])
+    rows = [(k, words.text(400) + "\n\n" + x + "\n\n" + words.text(400)) for k, x in enumerate(["\n\n".join(MIT_PARAGRAPHS), wrapped])]
+    rows.append((2, "\n\n".join([words.text(300), *MIT_PARAGRAPHS, words.text(300), *MIT_PARAGRAPHS])))
+    rows.append((3, "\n".join([words.text(50), MIT_PARAGRAPHS[0], "All rights reserved.", *MIT_PARAGRAPHS[1:], words.text(50)])))
+    got = {r.doc_id: r for r in licenses.scan(documents(rows)).collect()}
+    assert [(got[k].license, got[k].dice, got[k].n_matches) for k in range(3)] == [("MIT", 1.0, 1), ("MIT", 1.0, 1), ("MIT", 1.0, 2)]
+    assert got[3].licenses == "LicenseRef-proprietary,MIT"
+
+
+def test_runs_of_lines_are_those_of_brute_force(documents, words):
+    r, rows, bags = words.random, [], [(n, bag(split(t))) for n, t in licenses.TEMPLATES]
+    for k in range(60):
+        parts = []
+        for _ in range(r.randint(1, 3)):
+            w = words.vary(r.choice(licenses.TEMPLATES)[1], r.choice([0, 0, 0.03])).split(" ")
+            parts += [words.text(r.randint(1, 30)) for _ in range(r.randint(0, 2))]
+            while w:
+                n = r.randint(1, 25)
+                parts.append(" ".join(w[:n]) + r.choice(["", "", "\n", "\n --"]))
+                w = w[n:]
+        rows.append((k, "\n".join(parts)))
+    got = {r.doc_id: r for r in licenses.scan(documents(rows)).collect()}
+    for k, text in rows:
+        (d, name), names = runs(text, bags, licenses.LEAST)
+        assert (got[k].dice, got[k].license, got[k].licenses) == (-d, name, names), text
