@@ -34,7 +34,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences, with their token ids."""
-    return packing.pack(docs, tokenizer("byte_bpe_50k.json"))
+    return packing.pack(docs, tokenizer("byte_bpe_50k.json"), added=True)
 
 
 STAGES = [

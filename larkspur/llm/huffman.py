@@ -116,7 +116,7 @@ class Code:
         return out.reshape(-1)[:n]
 
 
-def _tokenized(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _tokenized(path: str, end_id: int, added: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Blocks of raw ids, in the order of the partition's rows."""
 
     def flush(part: int, block: int, before: int, docs: list, ids: list[np.ndarray]) -> pa.RecordBatch:
@@ -129,7 +129,7 @@ def _tokenized(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], I
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, code, end = TaskContext.get().partitionId(), encoder(path), np.array([end_id], np.uint32)
+        part, code, end = TaskContext.get().partitionId(), encoder(path, added), np.array([end_id], np.uint32)
         block, before, docs, ids, size = 0, 0, [], [], 0
         for b in batches:
             names = b.column(0).to_pylist()
@@ -148,15 +148,16 @@ def _tokenized(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], I
     return run
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, limit: int = 16) -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, limit: int = 16, added: bool = False) -> None:
     """Encodes (doc_id, text) rows into a folder: `path`/blocks and `path`/lengths.
 
     Null text is empty and has the end id only. Equal doc_ids stay neighbours in either order; a null
-    doc_id comes first. An empty table gives no block. Other columns are ignored.
+    doc_id comes first. An empty table gives no block. Other columns are ignored. With `added`, a literal
+    of one of the tokenizer's added tokens is that token's id, else it is text like any other.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id")
-    raw = materialize(rows.mapInArrow(_tokenized(tokenizer, end_id), _RAW), "ids")
+    raw = materialize(rows.mapInArrow(_tokenized(tokenizer, end_id, added), _RAW), "ids")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, np.int64)
@@ -228,5 +229,5 @@ def digest(spark: SparkSession, path: str) -> DataFrame:
 def query(spark: SparkSession, docs: DataFrame, tokenizer: str) -> DataFrame:
     """Writes the documents' ids to files in the shared folder and reads the digest back from them."""
     path = scratch(spark, "huffman")
-    write(docs, path, tokenizer)
+    write(docs, path, tokenizer, added=True)
     return digest(spark, path)

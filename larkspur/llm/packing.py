@@ -133,12 +133,12 @@ def powers(sequence: list[Piece]) -> list[list[Piece]]:
     return out
 
 
-def _packed(path: str, end_id: int, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _packed(path: str, end_id: int, with_ids: bool, added: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         # Partition numbers keep sequences of different tasks apart; a task that is run again gives the same rows.
-        code, packer, number = encoder(path), Packer(), TaskContext.get().partitionId() << 40
+        code, packer, number = encoder(path, added), Packer(), TaskContext.get().partitionId() << 40
         end = np.array([end_id], np.uint32)
 
         def out() -> pa.RecordBatch:
@@ -168,12 +168,13 @@ def _packed(path: str, end_id: int, with_ids: bool) -> Callable[[Iterator[pa.Rec
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, with_ids: bool = True, added: bool = False) -> DataFrame:
     """Pieces of (doc_id, text) rows in sequences of SIZE ids, without a shuffle.
 
     Null text is empty and has the end id only; every row is packed, repeated ones too; an empty table
     gives no piece; other columns are ignored. A null doc_id stays null. ids holds the piece's ids as
-    little-endian 32-bit values if with_ids is set.
+    little-endian 32-bit values if with_ids is set. With `added`, a literal of one of the tokenizer's
+    added tokens is that token's id, else it is text like any other.
     """
-    out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_packed(tokenizer, end_id, with_ids), _PIECES)
+    out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_packed(tokenizer, end_id, with_ids, added), _PIECES)
     return out if with_ids else out.drop("ids")

@@ -34,7 +34,7 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), with_ids=False)
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), with_ids=False, added=True)
 
 
 def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,10 +5,15 @@ character, and between a letter and ASCII punctuation. At such a place both toke
 pre-token whatever stands around it, and normalisation does not reach across, so the ids of a text are
 the ids of its pieces in a row. Pieces repeat, hence each process encodes a piece when it first meets
 it and looks it up from then on.
+
+The tokenizer's file has added tokens, such as <|endoftext|>. With `added`, a text is divided at their
+literals first, each of which is one id, as the library does by default; without, they are ordinary text.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from tokenizers import Tokenizer
@@ -34,9 +39,15 @@ _PUNCTUATION[0x30:0x3A] = False
 class Encoder:
     """ids of rows, with a bounded cache of pieces."""
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 250_000, added: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = True  # pieces hold no literal of an added token, or are to be read as text
+        tokens = self.tokenizer.get_added_tokens_decoder() if added else {}
+        if odd := [t.content for t in tokens.values() if t.lstrip or t.rstrip or t.single_word or t.normalized]:
+            raise ValueError(f"{path}: added tokens that are not plain literals: {odd}")
+        self.literals = {t.content.encode(): k for k, t in tokens.items()}  # the longest of several at a place counts
+        self.numbers = {x: k for k, x in enumerate(self.literals)}
+        self.literal = re.compile(b"|".join(re.escape(x) for x in sorted(self.literals, key=len, reverse=True))) if tokens else None
         self.most = most
         self.byte_lengths = _byte_lengths(self.tokenizer) if self.tokenizer.normalizer is None else None
         self.mark = None if self.byte_lengths is not None else self._mark()
@@ -49,8 +60,8 @@ class Encoder:
 
     def _clear(self) -> None:
         self.index: dict[int, int] = {}
-        self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.ids = np.array(list(self.literals.values()), np.uint32)  # the added tokens come first, outside the index
+        self.starts, self.lengths = np.arange(len(self.ids)), np.ones(len(self.ids), np.int64)
 
     def _single(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
@@ -93,6 +104,13 @@ class Encoder:
         place[order] = np.arange(len(order))
         return np.concatenate(ids), lengths, place
 
+    def _found(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
+        """Begin, end and number of each literal of an added token; none crosses rows."""
+        if self.literal is None or not self.literal.search(raw := data.tobytes()):
+            return []
+        bounds = offsets.tolist()
+        return [(m.start(), m.end(), self.numbers[m[0]]) for a, b in zip(bounds[:-1], bounds[1:], strict=True) for m in self.literal.finditer(raw, a, b)]
+
     def rows(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """ids of all rows in a row, and where each row's begin (one more at the end)."""
         if not len(data):
@@ -105,8 +123,22 @@ class Encoder:
         cut = np.zeros(len(data) + 1, bool)
         cut[1:-1] = (ends_char[:-1] & _SPACE[data[1:]]) | (letter[:-1] & _PUNCTUATION[data[1:]])
         cut[offsets] = True
+        found = np.array(self._found(data, offsets), np.int64).reshape(-1, 3)
+        cut[ragged(found[:, 0], found[:, 1] - found[:, 0])] = False
+        cut[found[:, :2]] = True
         bounds = np.flatnonzero(cut)
         starts, ends = bounds[:-1], bounds[1:]
+        text = np.ones(len(starts), bool)
+        text[literals := np.searchsorted(starts, found[:, 0])] = False
+        places = np.empty(len(starts), np.int64)
+        places[literals] = found[:, 2]
+        places[text] = self._places(data, starts[text], ends[text])
+        lengths = self.lengths[places]
+        before = np.concatenate([[0], np.cumsum(lengths)])
+        return self.ids[ragged(self.starts[places], lengths)], before[np.searchsorted(starts, offsets)]
+
+    def _places(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Where each piece's ids are kept."""
         codes, distinct = pd.factorize(Ranges(data).hash(starts, ends))
         if len(self.index) > self.most:
             self._clear()
@@ -121,10 +153,7 @@ class Encoder:
             self.starts = np.concatenate([self.starts, np.cumsum(lengths) - lengths + len(self.ids)])
             self.lengths = np.concatenate([self.lengths, lengths])
             self.ids = np.concatenate([self.ids, ids])
-        place = place[codes]
-        lengths = self.lengths[place]
-        before = np.concatenate([[0], np.cumsum(lengths)])
-        return self.ids[ragged(self.starts[place], lengths)], before[np.searchsorted(starts, offsets)]
+        return place[codes]
 
 
 def _byte_lengths(tokenizer: Tokenizer) -> np.ndarray:
@@ -136,11 +165,11 @@ def _byte_lengths(tokenizer: Tokenizer) -> np.ndarray:
     return out
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, added: bool = False) -> Encoder:
     """The process's encoder of that file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, added) not in _encoders:
+        _encoders[path, added] = Encoder(path, added=added)
+    return _encoders[path, added]

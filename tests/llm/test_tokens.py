@@ -10,7 +10,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from larkspur.llm import huffman, packing
+import corpus_pipeline
+from larkspur.llm import huffman, packing, queries
 from larkspur.llm.common import tokenizer
 from larkspur.llm.tokens import Encoder
 from larkspur.llm.vectors import blocks
@@ -144,3 +145,34 @@ def test_packer_keeps_every_id_and_bounds_open_sequences():
     assert sum(len(p.ids) for s in packer.done for p in s) == total
     short = [s for s in packer.done if sum(len(p.ids) for p in s) < 64]
     assert all((n := sum(len(p.ids) for p in s)) & (n - 1) == 0 for s in short) and len(short) < 20
+
+
+@pytest.fixture(scope="module", params=NAMES)
+def both_added(request):
+    return Tokenizer.from_file(tokenizer(request.param)), Encoder(tokenizer(request.param), most=50, added=True)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.one_of(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|endoftext", "|>", "<|", " ", "abc", "\u0301", "\u3000"]), st.text(max_size=5)), max_size=8).map("".join), max_size=6))
+def test_added_tokens_give_the_ids_of_the_library(both_added, texts):
+    t, encoder = both_added
+    for x in blocks(pa.array(texts, pa.string()), 60):
+        ids, at = encoder.rows(x.data, x.offsets)
+        for k in range(x.hi - x.lo):
+            assert ids[at[k] : at[k + 1]].tolist() == t.encode(texts[x.lo + k], add_special_tokens=False).ids
+
+
+def test_queries_read_added_tokens_as_the_library_does(spark, documents, tmp_path):
+    rows = [(1, "abc <|endoftext|> def"), (2, "<|startoftext|>abc<|endoftext|><|endoftext|>"), (3, "<|endof"), (4, "text|> abc"), (5, None)]
+    documents(rows).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    expected = {}
+    for name, end in zip(NAMES, (1, 2), strict=True):
+        t = Tokenizer.from_file(tokenizer(name))
+        expected[name] = {k: np.array([*t.encode(x or "", add_special_tokens=False).ids, end], "<u4").tobytes() for k, x in rows}
+    packed = queries.op6_packing(spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.doc_tokens for r in packed} == {k: len(x) // 4 for k, x in expected[NAMES[0]].items()}
+    pieces = corpus_pipeline.pack(spark, documents(rows), str(tmp_path)).orderBy("doc_id", "start").collect()
+    assert {k: b"".join(p.ids for p in pieces if p.doc_id == k) for k, _ in rows} == expected[NAMES[0]]
+    got = sorted(queries.op9_huffman(spark, str(tmp_path)).collect(), key=lambda r: r.start)
+    assert {r.doc_id: (r.n_tokens, r.ids_crc32) for r in got} == {k: (len(x) // 4, zlib.crc32(x)) for k, x in expected[NAMES[1]].items()}
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
