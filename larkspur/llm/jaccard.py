@@ -282,6 +282,15 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch("a long,b long", a=left, b=right)
 
 
+def _by_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts that have shingles, with their nodes."""
+    for b in batches:
+        for x in blocks(b.column(0)):
+            _, value, first = shingles(x)
+            some = np.diff(first) > 0
+            yield batch("node long,text string", node=nodes(value, first)[some], text=b.column(0).slice(x.lo, x.hi - x.lo).filter(pa.array(some)))
+
+
 def verify(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose sets are similar; `texts` has (node, text).
 
@@ -321,7 +330,9 @@ def join(docs: DataFrame) -> DataFrame:
 
     where = features.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     texts = rows.join(where.join(shared.select("node").distinct(), "node"), "doc_id").select("node", "text")
-    texts = materialize(texts, "texts")
+    # A set that only rows without a doc_id have is found by its node.
+    unnamed = rows.filter("doc_id IS NULL").select("text").mapInArrow(_by_node, "node long,text string").dropDuplicates(["node"])
+    texts = materialize(texts.union(unnamed), "texts")
     edges = materialize(verify(texts, leaders(shared)), "links")
     found = components(edges, "a", "b")
     labelled = shared.join(found.withColumnRenamed("component", "c"), "node", "left").select("token", "node", "place", F.coalesce("c", "node").alias("component"))

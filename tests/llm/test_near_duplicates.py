@@ -197,3 +197,13 @@ def test_more_vectors_need_more_bits():
     bits, tables = embeddings.plan(50_000)
     same = 1 - np.arccos(0.95) / np.pi
     assert 1 - (1 - same**bits) ** tables >= embeddings.RECALL
+
+
+def test_rows_without_an_id_bridge_others(documents, words):
+    """b shares 62 of 70 shingles with a and with c, which share 54: only b, without an id, links them."""
+    w = words.text(90).split(" ")
+    a, b, c = " ".join(w[:74]), " ".join(w[8:82]), " ".join(w[16:])
+    rows = [(1, a), (2, c), (3, words.text(70)), (None, b), (None, b.upper().replace("É", "é").replace("SS", "ß")), (None, words.text(50)), (None, ""), (None, None)]
+    found = joined(documents(rows))
+    assert found == brute(rows)
+    assert [c for d, _, c in found if d in (1, 2)] == [1, 1] and [c for _, _, c in brute(rows[:3])] == [1, 2, 3]
