@@ -194,20 +194,23 @@ def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def item_groups(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str, bytes]]]:
-    """(item_id as text, text) in groups of bounded bytes; the driver holds one group at a time."""
+    """(item_id as text, or NO_ID; text) in groups of bounded bytes; the driver holds one group at a time."""
     group, size = [], 0
-    rows = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t")).filter("i IS NOT NULL AND t IS NOT NULL")
+    rows = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t")).filter("t IS NOT NULL")
     for r in rows.toLocalIterator():
         text = r.t.encode()
         if group and size + len(text) > limit:
             yield group
             group, size = [], 0
-        group.append((r.i, text))
+        group.append((NO_ID if r.i is None else r.i, text))
         size += len(text)
     if group:
         yield group
 
 
+#: Stands for the items without an id.
+NO_ID = "\0"
+
 _FOUND = {"__words": pa.int64(), "__runs": pa.binary(), "__items": pa.string()}
 
 
@@ -257,7 +260,7 @@ def _digest(share: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
             hit = [int(np.diff(np.frombuffer(r, "<i8").reshape(-1, 2)).sum()) for r in b.column(3).to_pylist()]
             yield batch(
                 _ROWS, doc_id=b.column(0), n_words=n, n_hit=hit, n_items=[len(list(filter(None, x.split(",")))) for x in items],
-                items_sha256=[hashlib.sha256(x.encode()).hexdigest() for x in items], contaminated=[h > 0 and share * h >= k for h, k in zip(hit, n, strict=True)],
+                items_sha256=[hashlib.sha256(",".join(i for i in x.split(",") if i != NO_ID).encode()).hexdigest() for x in items], contaminated=[h > 0 and share * h >= k for h, k in zip(hit, n, strict=True)],
             )
 
     return run
@@ -267,7 +270,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int
     """One row per document with what the benchmark's items share with it.
 
     Null and empty texts have no words; items without words have no windows; items that share an id count
-    once. A repeated document row gives a repeated result row, an empty benchmark hits nothing, and other
+    once. Items without an id hit like any other; in n_items they count as one together, in items_sha256 they
+    are left out. A repeated document row gives a repeated result row, an empty benchmark hits nothing, and other
     columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))

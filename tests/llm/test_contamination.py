@@ -98,3 +98,25 @@ def test_automaton(items, text, window):
         for k in range(len(seq) - n + 1 if n else 0):
             expected |= {(at + n, n, name) for at in range(len(text) - n + 1) if text[at : at + n] == seq[k : k + n]}
     assert {(end, n, name) for end, n, names in automaton.stream(text) for name in names} == expected
+
+
+@pytest.mark.parametrize("limit", [contamination.GROUP_BYTES, 1])
+def test_items_without_an_id_hit_as_in_sql(spark, documents, words, monkeypatch, limit):
+    import duckdb
+
+    from larkspur.llm import oracles
+
+    monkeypatch.setattr(contamination, "GROUP_BYTES", limit)
+    a, b, c = words.text(20), words.text(20), words.text(20)
+    items = [(None, a), (1, b), (None, c)]
+    rows = [(1, words.text(9) + " " + a), (2, a + " " + b + " " + c), (3, b), (4, words.text(50))]
+    df = documents(rows)
+    got = sorted(map(tuple, contamination.scan(df, benchmark(spark, items)).collect()))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.execute("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", items)
+    assert got == sorted(con.execute(oracles.OP4).fetchall())
+    assert [r[5] for r in got] == [True, True, True, False]
+    assert sorted(r.doc_id for r in contamination.decontaminated(df, benchmark(spark, items)).collect()) == [4]
