@@ -1,4 +1,4 @@
-"""`python -m larkspur [data_dir]`: one statement a line; quit or exit ends."""
+"""`python -m larkspur [data_dir]`: one statement a line, whose plan goes to the error output; quit or exit ends."""
 
 import sys
 
@@ -13,11 +13,12 @@ def main() -> None:
     engine = Engine(SparkSession.builder.appName("larkspur").getOrCreate(), sys.argv[1] if len(sys.argv) > 1 else "larkspur-data")
     for line in sys.stdin:
         text = line.strip()
-        if text in ("quit", "exit"):
+        if text.lower() in ("quit", "exit"):
             break
         if not text:
             continue
         try:
+            print(engine.plan(text), file=sys.stderr)
             df = engine.sql(text)
             df.show(truncate=False) if df.columns else print("OK")
         except (EngineError, PySparkException) as error:

@@ -49,3 +49,7 @@ class TableAlreadyExistsError(EngineError):
     def __init__(self, name: str):
         super().__init__(f"already exists: {name}")
         self.name = name
+
+
+class ConcurrentChangeError(EngineError):
+    """Another engine has changed the data folder since this one read it; nothing of the statement took effect."""

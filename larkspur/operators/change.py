@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from larkspur.functions.expressions import SPARK, lower, reference
 from larkspur.plans import nodes as n
 from larkspur.plans.analyzer import check_insert, check_predicate, check_update, find
-from larkspur.sources.catalog import Catalog, Table, files_with
+from larkspur.sources.catalog import Catalog, Table, matches_by_file
 
 
 def insert(catalog: Catalog, plan: n.Insert) -> None:
@@ -27,15 +27,15 @@ def _matches(table: Table, predicate: n.Expr | None) -> Column:
 
 
 def _rewrite(catalog: Catalog, table: Table, hit: Column, change) -> int:
-    """Rewrites the files with matching rows and keeps the others; returns how many rows matched."""
-    touched = set(files_with(catalog.scan(table), hit)) if table.files else set()
-    if not touched:
-        return 0
-    old = catalog.scan(table, [x for x in table.files if x in touched])
-    matched = old.filter(hit).count()
-    files = catalog.write(table, change(old))
-    catalog.replace_files(table, [x for x in table.files if x not in touched] + files)
-    return matched
+    """Rewrites the files with matching rows and keeps the others; returns how many rows matched.
+
+    One pass over the predicate's columns counts the matches of each file, one pass rewrites the files that have any.
+    """
+    touched = matches_by_file(catalog.scan(table), hit) if table.files else {}
+    if touched:
+        files = catalog.write(table, change(catalog.scan(table, [x for x in table.files if x in touched])))
+        catalog.replace_files(table, [x for x in table.files if x not in touched] + files)
+    return sum(touched.values())
 
 
 def _count(catalog: Catalog, name: str, value: int) -> DataFrame:

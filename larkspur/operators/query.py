@@ -32,7 +32,15 @@ def fold(expr: n.Expr) -> n.Expr:
         return n.IsNull(fold(expr.operand), expr.negated)
     if not isinstance(expr, n.Binary):
         return expr
-    a, b = fold(expr.left), fold(expr.right)
+    first, rest = n.chain(expr)
+    out = fold(first)
+    for op, right in rest:
+        out = _fold_pair(n.Binary(op, out, fold(right)))
+    return out
+
+
+def _fold_pair(expr: n.Binary) -> n.Expr:
+    a, b = expr.left, expr.right
     if isinstance(a, n.Literal) and isinstance(b, n.Literal) and a.type == b.type != n.NULL:
         x, y = a.value, b.value
         if expr.op == "+" and a.type in (n.INT, n.FLOAT):
@@ -44,7 +52,7 @@ def fold(expr: n.Expr) -> n.Expr:
             return n.Literal((x == y) == (expr.op == "="), n.BOOL)
         elif expr.op in _FLIP and a.type != n.BOOL:
             return n.Literal({"<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[expr.op], n.BOOL)
-    return n.Binary(expr.op, a, b)
+    return expr
 
 
 def access_path(catalog: Catalog, plan: n.Project) -> str:

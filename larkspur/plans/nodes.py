@@ -38,6 +38,18 @@ class IsNull:
 Expr = Column | Literal | Binary | IsNull
 
 
+def chain(expr: Binary) -> tuple[Expr, list[tuple[str, Expr]]]:
+    """The innermost left operand of a left-deep chain, and the operators with their right operands from there on.
+
+    A predicate of thousands of ORs is such a chain, too deep to recurse into.
+    """
+    rest = []
+    while isinstance(expr, Binary):
+        rest.append((expr.op, expr.right))
+        expr = expr.left
+    return expr, rest[::-1]
+
+
 @dataclass(frozen=True)
 class Scan:
     table: str

@@ -13,10 +13,12 @@ from pyspark.sql import SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset, one of our own.
 
-    Our own is a temporary folder and only right where everything runs on one machine, as in tests.
+    Our own is a temporary folder of this machine, so it is only for sessions whose executors run in the driver, as in tests.
     """
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = getattr(shared_folder, "own", None)
         if own is None:
             own = shared_folder.own = tempfile.mkdtemp(prefix="larkspur-")
@@ -75,3 +77,10 @@ class Storage:
 
     def data_files(self, folder: str) -> list[str]:
         return sorted(s.getPath().getName() for s in self._fs(folder).listStatus(self._path(folder)) if s.getPath().getName().startswith("part-") and s.getLen())
+
+    def folders(self, folder: str) -> list[str]:
+        fs = self._fs(folder)
+        return sorted(s.getPath().getName() for s in fs.listStatus(self._path(folder)) if s.isDirectory()) if fs.exists(self._path(folder)) else []
+
+    def size(self, path: str) -> int:
+        return self._fs(path).getFileStatus(self._path(path)).getLen()

@@ -299,3 +299,76 @@ def test_random_predicates_with_and_without_index(spark, tmp_path_factory, data,
         for text, holds in predicates:
             expected = sorted([x for x in data if holds(dict(zip("ab", x, strict=True))) is True], key=repr)
             assert rows(engine.sql(f"SELECT a, b FROM t WHERE {text}")) == expected, text
+
+
+# -- long predicates, upkeep of files, several engines ---------------------------------------
+
+
+def test_long_predicates(users):
+    ors = " OR ".join(f"age = {k}" for k in range(1000, 3000))
+    assert [r.name for r in users.sql(f"SELECT name FROM users WHERE {ors} OR age = 22").collect()] == ["bob"]
+    assert users.sql("SELECT name FROM users WHERE " + " AND ".join(["age > 20"] * 1500)).count() == 2
+    assert users.access_path(f"SELECT name FROM users WHERE {ors}") == "SeqScan"
+    assert users.sql("SELECT name FROM users WHERE " + "(" * 90 + "age = 22" + ")" * 90).count() == 1
+    assert users.sql("SELECT name FROM users WHERE NULL OR NULL OR age = 22 OR NULL AND age > 100").count() == 1
+    for where in ("(" * 600 + "age = 22" + ")" * 600, "age = " + " + ".join(["1"] * 600), "age" + " IS NULL" * 600):
+        with pytest.raises(e.UnsupportedError):
+            users.sql(f"SELECT name FROM users WHERE {where}")
+    with pytest.raises(e.TypeMismatchError):
+        users.sql(f"SELECT name FROM users WHERE {ors} OR name = 1")
+
+
+def test_compaction_and_vacuum(engine):
+    engine.sql("CREATE TABLE t (k INT, s TEXT)")
+    for k in range(6):
+        engine.sql(f"INSERT INTO t VALUES ({9 - k}, 'x'), ({k}, NULL)")
+    rows = lambda: sorted((r.k, r.s or "") for r in engine.sql("SELECT k, s FROM t").collect())
+    before = rows()
+    assert len(engine.catalog.table("t").files) == 6 and engine.compact("t") == 1 and rows() == before
+    assert engine.vacuum("t") == 6 and rows() == before and engine.vacuum("t") == 0
+    engine.sql("UPDATE t SET s = 'y' WHERE k = 0")
+    engine.sql("DELETE FROM t WHERE k = 1")
+    after = rows()
+    assert engine.vacuum("t") == 2 and rows() == after and engine.compact("t") == 1
+    engine.sql("DELETE FROM t")
+    assert rows() == [] and engine.compact("t") <= 1 and engine.vacuum("t") >= 1
+
+
+def test_new_files_are_sorted_by_the_latest_index(engine, spark):
+    engine.sql("CREATE TABLE t (k INT, s TEXT)")
+    engine.sql("CREATE INDEX a ON t (k)")
+    engine.sql("INSERT INTO t VALUES (3, 'a'), (1, 'c'), (NULL, 'd'), (2, 'b')")
+    stored = lambda: [[tuple(r) for r in engine.catalog.scan(engine.catalog.table("t"), [x]).collect()] for x in engine.catalog.table("t").files]
+    assert stored() == [[(1, "c"), (2, "b"), (3, "a"), (None, "d")]]
+    engine.sql("CREATE INDEX b ON t (s)")
+    engine.sql("INSERT INTO t VALUES (9, 'z'), (8, 'y')")
+    assert all(rows == sorted(rows, key=lambda r: r[1]) for rows in stored())
+    engine.sql("UPDATE t SET k = 0 WHERE k > 1")
+    assert all(rows == sorted(rows, key=lambda r: r[1]) for rows in stored())
+
+
+def test_two_engines_on_one_folder(engine, spark):
+    engine.sql("CREATE TABLE t (k INT)")
+    other = Engine(spark, engine.catalog.data_dir)
+    other.sql("INSERT INTO t VALUES (1)")
+    with pytest.raises(e.ConcurrentChangeError):
+        engine.sql("INSERT INTO t VALUES (2)")
+    assert [r.k for r in Engine(spark, engine.catalog.data_dir).sql("SELECT k FROM t").collect()] == [1]
+
+
+def test_plans_are_told(users):
+    users.sql("CREATE INDEX i ON users (age)")
+    assert users.plan("SELECT name FROM users WHERE age = 22").endswith("via IndexScan") and "Scan" in users.plan("SELECT name FROM users")
+    assert "Delete" in users.plan("DELETE FROM users")
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from larkspur.sources.storage import shared_folder
+
+    session = lambda master, conf: SimpleNamespace(sparkContext=SimpleNamespace(master=master, getConf=lambda: conf))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(session("spark://host:7077", {}))
+    assert shared_folder(session("yarn", {"spark.checkpoint.dir": "hdfs://x/y/"})) == "hdfs://x/y"
+    assert shared_folder(session("local[4]", {})).startswith("file://")

@@ -16,7 +16,7 @@ sys.meta_path.insert(0, Gone())
 import __spark_entry__ as entry
 from larkspur import queries
 assert set(entry.queries()) == set(queries.queries()) and set(entry.oracle_sql()) == set(queries.oracle_sql())
-import larkspur.engine, larkspur.streaming, larkspur.__main__
+import larkspur.engine, larkspur.__main__
 assert not any(x.startswith("larkspur.llm") for x in sys.modules)
 """
 
