@@ -16,7 +16,7 @@ _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: 64 random-looking bits for each byte value.
-_SYMBOLS = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
+SYMBOLS = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _powers: dict[int, np.ndarray] = {}
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
 
@@ -83,10 +83,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Ranges:
-    """64-bit hashes of arbitrary byte ranges of one buffer, from one pass of prefix sums."""
+    """64-bit hashes of arbitrary ranges of bytes, or of 64-bit hashes, from one pass of prefix sums."""
 
     def __init__(self, data: np.ndarray):
-        terms = _SYMBOLS[data]
+        terms = SYMBOLS[data] if data.dtype == np.uint8 else data.copy()
         terms *= _power(_BASE, len(data))
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.add.accumulate(terms, out=self.sums[1:])
@@ -122,8 +122,63 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Words:
     return Words(starts, np.flatnonzero(mask & ~after) + 1, np.searchsorted(starts, offsets))
 
 
+def word_hashes(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, limit: int = 1 << 21, lower: bool = True) -> tuple[Words, np.ndarray]:
+    """The words of rows, after A-Z are lowered or as they are, and a 64-bit hash of each.
+
+    Data beyond `limit` bytes, as of a very long row, are read in pieces that end between words, so that what is
+    held besides words and hashes follows the limit.
+    """
+    fold = LOWER if lower else np.arange(256, dtype=np.uint8)
+    starts, ends, hashes, lo = [], [], [], 0
+    while True:
+        hi = len(data)
+        if hi - lo > limit:
+            gap = np.flatnonzero(~table[fold[data[lo : lo + limit]]])
+            hi = lo + int(gap[-1]) + 1 if len(gap) else lo + limit
+            while not len(gap) and hi < len(data):  # one word of more than `limit` bytes
+                gap = np.flatnonzero(~table[fold[data[hi : hi + limit]]])
+                hi = hi + int(gap[0]) + 1 if len(gap) else min(hi + limit, len(data))
+        some = fold[data[lo:hi]]
+        inside = offsets[(offsets > lo) & (offsets < hi)] - lo
+        w = words(some, np.concatenate([[0], inside, [hi - lo]]), table)
+        starts.append(w.starts + lo)
+        ends.append(w.ends + lo)
+        if len(w.starts):
+            hashes.append(Ranges(some).hash(w.starts, w.ends))
+        lo = hi
+        if lo >= len(data):
+            break
+    starts = np.concatenate(starts)
+    return Words(starts, np.concatenate(ends), np.searchsorted(starts, offsets)), np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The indices start, start + 1, ... of each range, one range after the other."""
     total = int(lengths.sum())
     ends = np.cumsum(lengths)
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int, rows: int = 4096) -> Iterator[pa.Table]:
+    """Sorted rows in tables of about `rows` rows that end between groups, which the first `keys` columns, numbers, tell apart."""
+    held, have = [], 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        have += b.num_rows
+        if have < rows:
+            continue
+        now = pa.Table.from_batches(held).combine_chunks()
+        k = np.stack([now.column(j).to_numpy() for j in range(keys)], 1)
+        change = np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1
+        cut = int(change[-1]) if len(change) else 0
+        before = 0
+        for at in change[np.searchsorted(change, np.arange(rows, cut, rows))].tolist() + [cut] if cut else []:
+            if at > before:
+                yield now.slice(before, at - before)
+                before = at
+        held = now.slice(cut).to_batches()
+        have = now.num_rows - cut
+    if have:
+        yield pa.Table.from_batches(held).combine_chunks()
