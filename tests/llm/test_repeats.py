@@ -1,6 +1,7 @@
 """Repeated-window removal against brute force over bytes."""
 
 import hashlib
+import re
 from collections import Counter
 
 import numpy as np
@@ -67,10 +68,10 @@ def test_first_pass_digits_agree_for_equal_windows(words):
     texts = [words.text(k).encode() + passage + words.text(7).encode() for k in (1, 30, 200)]
     digits = []
     for x in blocks(pa.array(texts, pa.binary()), 1 << 20):
-        s = repeats.Suffixes(x)
+        s = repeats.Suffixes(x.data, x.offsets, repeats.BYTES)
         for k, t in enumerate(texts):
             at = t.index(passage) + x.offsets[k]
-            use = np.flatnonzero((s.start >= at) & (s.start + repeats.WIDTH <= at + len(passage)) & (s.row == k))
+            use = np.flatnonzero((s.start >= at) & (s.start + repeats.BYTES.width <= at + len(passage)) & (s.row == k))
             digits.append((s.anchor[use].tolist(), s.windows(use).tolist()))
     assert digits[0] == digits[1] == digits[2] and digits[0][0]
 
@@ -79,7 +80,7 @@ def test_kept_text_is_cut_at_characters(documents, words):
     passage = "é" + words.text(200) + "é"
     rows = [(1, "ü" + passage + "ß fin"), (2, "Ü" + passage + "ä end"), (3, words.text(80)), (4, None), (5, "")]
     df = documents(rows)
-    out = repeats.without_repeats(df)
+    out = repeats.without_repeats(df, repeats.BYTES)
     assert out.columns == df.columns and out.dtypes == df.dtypes
     kept = {r.doc_id: r for r in out.collect()}
     assert kept[3].text == rows[2][1] and kept[4].text is None and kept[5].text == ""
@@ -105,3 +106,72 @@ def test_random_small_alphabet(documents, seed):
     pool = ["".join(rng.choice(list("ab"), 300)) for _ in range(4)]
     rows = [(k, "".join(pool[j] for j in rng.integers(0, 4, rng.integers(1, 6)))) for k in range(15)]
     assert found(documents(rows)) == brute(rows)
+
+
+def brute_words(rows, width):
+    """Of each text, what is left without the words of windows that start elsewhere too."""
+    texts = [[(m.start(), m.end(), m[0]) for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "")] for _, t in rows]
+    window = lambda w, k: tuple(x for _, _, x in w[k : k + width])
+    seen = Counter(window(w, k) for w in texts for k in range(len(w) - width + 1))
+    out = []
+    for (doc_id, t), w in zip(rows, texts, strict=True):
+        gone = set()
+        for k in range(len(w) - width + 1):
+            if seen[window(w, k)] > 1:
+                gone |= set(range(k, k + width))
+        left, before = "", 0
+        for k in sorted(gone):
+            if k - 1 not in gone:
+                left, before = left + t[before : w[k][0]], None
+            if k + 1 not in gone:
+                before = w[k][1]
+        out.append((doc_id, t and left + t[before:]))
+    return sorted(out, key=repr)
+
+
+def without(df, windows):
+    return sorted([(r.doc_id, r.text) for r in repeats.without_repeats(df, windows).collect()], key=repr)
+
+
+@pytest.mark.parametrize("width", [50, 7])
+def test_words_against_brute_force(documents, hostile, words, width):
+    passage = words.text(51)
+    rows = [*hostile, (30, "a " + passage + " b"), (31, passage.replace(" ", " \n\t")), (32, words.text(49)), (33, words.text(80) + " " + passage), (34, " ".join(passage.split(" ")[2:]) + " x")]
+    assert without(documents(rows), repeats.Windows(width, width // 2, True)) == brute_words(rows, width)
+
+
+def test_long_rows_in_stretches_and_frequent_anchors(documents, words, monkeypatch):
+    """Rows many times as long as what is sorted at once, and anchors whose windows go by themselves."""
+    monkeypatch.setattr(repeats, "BLOCK_TOKENS", 300)
+    monkeypatch.setattr(repeats, "FREQUENT", 5)
+    monkeypatch.setattr(repeats, "CHUNK_BYTES", 3000)
+    passage = words.text(130)
+    rows = [(k, words.text(15) + " " + passage + " " + words.text(15)) for k in range(25)] + [(40, words.text(900) + passage + words.text(700) + passage), (41, words.text(1500)), (42, "ab" * 1500)]
+    assert found(documents(rows)) == brute(rows)
+    assert without(documents(rows), repeats.Windows(20, 9, True)) == brute_words(rows, 20)
+
+
+def test_many_equal_rows_under_one_id_are_read_once(documents, words):
+    text = words.text(120)
+    rows = [(1, text)] * 400 + [(2, words.text(5) + text)]
+    assert found(documents(rows)) == brute(rows)
+
+
+def test_clashing_columns_stay(spark, words):
+    text = words.text(90)
+    schema = "doc_id long, text string, n_chars string, key string, spans map<string,int>, spans_key int, __key string"
+    df = spark.createDataFrame([(1, "x " + text, "a", "k", {"m": 1}, 5, "u"), (2, text + " y", "b", "l", None, 6, "v"), (3, None, "c", None, {}, 7, "w")], schema)
+    out = repeats.without_repeats(df)
+    assert out.dtypes == df.dtypes
+    left = {1: "x ", 2: " y", 3: None}
+    assert sorted([tuple(r) for r in out.collect()], key=repr) == sorted([(r.doc_id, left[r.doc_id], *r[2:]) for r in df.collect()], key=repr)
+
+
+def test_a_window_in_many_chunks_is_not_held():
+    """Groups of part -1 come out row by row from the second on, whatever the batches."""
+    n = 40
+    one = np.array([7], np.uint64).tobytes()
+    rows = repeats.batch(repeats._WINDOWS, chunk=np.arange(n), run=np.zeros(n, int), anchor=[1, *[7] * (n - 3), 8, 9], part=[-1] * n, hashes=[one if 0 < k < n - 2 else np.array([k + 100], np.uint64).tobytes() for k in range(n)], known=[b"\0"] * (n - 1) + [b"\1"])
+    for size in (1, 2, 3, 11, n):
+        out = [r for b in repeats._masks(iter([rows.slice(k, size) for k in range(0, n, size)])) for r in b.to_pylist()]
+        assert [r["mask"] for r in sorted(out, key=lambda r: r["chunk"])] == [b"\0", *[b"\1"] * (n - 3), b"\0", b"\1"]
