@@ -1,7 +1,8 @@
 """From raw documents to packed token sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last
-return the columns of documents.
+return the columns of documents, of any type and name. Columns other than doc_id, text and n_chars pass
+through; a null doc_id is an id like any other but where a stage says otherwise.
 """
 
 from __future__ import annotations
@@ -9,31 +10,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from larkspur.llm import contamination, jaccard, packing, quality, repeats
-from larkspur.llm.common import materialize, table, tokenizer
+from larkspur.llm.common import materialize, table, temporary, tokenizer
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go.
+
+    Null and empty texts have the share of good labels as their score. Repeated rows go or stay together, a score at the
+    threshold stays, very long texts are scored whole, an empty table stays empty, and without labels every score is 0.5.
+    """
     return quality.accepted(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays, the one with the least doc_id; of repeated rows one.
+
+    Null, empty and blank texts are like nothing and all stay. Of several texts under the least id the one with the least
+    key stays. Very long texts are compared whole; an empty table stays empty.
+    """
     return jaccard.deduplicated(docs)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that occur elsewhere too are cut out."""
+    """Passages of repeats.WORDS.width words or more that occur elsewhere too are cut out, wherever they occur.
+
+    No document goes. Null and empty texts stay as they are; texts that are equal, as repeated rows, lose all windows;
+    very long texts are read in overlapping stretches; an empty table stays empty.
+    """
     return repeats.without_repeats(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go."""
+    """Contaminated documents go; in the others, passages of contamination.WINDOW words or more of an item are cut out.
+
+    Null and empty texts stay; repeated rows go or stay together; a share at the limit is contaminated; very long texts are
+    read whole; an empty benchmark changes nothing, and an empty table stays empty.
+    """
     return contamination.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences, with their token ids."""
+    """Pieces of documents in sequences, with their token ids.
+
+    Null and empty texts have the end id only; every row is packed, repeated ones too; very long texts are divided; an
+    empty table gives no piece.
+    """
     return packing.pack(docs, tokenizer("byte_bpe_50k.json"), added=True)
 
 
@@ -50,8 +71,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's result is written as Parquet and read again."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """All stages over documents; each stage's result is written as Parquet and read again. Only what the last stage reads stays."""
+    docs, last = table(spark, sf_dir, "documents"), len(STAGES) - 1
+    with temporary(spark):
+        for k, (name, stage) in enumerate(STAGES[:last]):
+            docs = materialize(stage(spark, docs, sf_dir), name, keep=k == last - 1)
+    return STAGES[last][1](spark, docs, sf_dir)
