@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from larkspur.llm import contamination, embeddings, html, huffman, jaccard, language, licenses, oracles, packing, quality, repeats
 from larkspur.llm.common import table, tokenizer
 
@@ -53,14 +52,10 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     operators = (
         op1_quality, op2_jaccard, op3_repeats, op4_contamination, op5_language,
-        op6_packing, op7_embeddings, op8_html, op9_huffman, op10_licenses, pipeline,
+        op6_packing, op7_embeddings, op8_html, op9_huffman, op10_licenses,
     )
     return {f.__name__: f for f in operators}
 

@@ -1,14 +1,22 @@
 """The pipeline's stages and the registered queries."""
 
+from collections import defaultdict
+
 import duckdb
+import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from larkspur.llm import contamination, jaccard, packing, quality, queries, repeats
+from larkspur.llm import quality, queries, repeats
 from larkspur.llm.common import materialize, table, temporary, tokenizer
 from larkspur.sources.storage import Storage
 
+from test_contamination import cut as cut_spans  # isort: skip
+from test_near_duplicates import brute as near_brute  # isort: skip
+from test_repeats import brute_words  # isort: skip
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -38,29 +46,42 @@ def test_stages_follow_their_operators(spark):
 
     kept = materialize(stages["quality_classifier"](spark, docs, SF), "test")
     scores = quality.score(docs, quality.fit(docs, table(spark, SF, "labels")))
-    assert kept.schema.names == docs.columns
+    assert kept.dtypes == docs.dtypes
     assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in scores.filter("predicted = 1").collect())
 
     single = materialize(stages["ngram_jaccard_join"](spark, kept, SF), "test")
-    components = {r.component_id for r in jaccard.join(kept).collect()}
-    assert single.columns == docs.columns and sorted(r.doc_id for r in single.collect()) == sorted(components)
+    components = {c for _, _, c in near_brute([(r.doc_id, r.text) for r in kept.collect()])}
+    assert single.dtypes == docs.dtypes and sorted(r.doc_id for r in single.collect()) == sorted(components)
 
     cut = materialize(stages["suffix_array_dedup"](spark, single, SF), "test")
-    removed = {r.doc_id: r.n_removed for r in repeats.digest(single).collect()}
-    before = {r.doc_id: r for r in single.collect()}
-    assert cut.columns == docs.columns and cut.count() == single.count()
-    for r in cut.collect():
-        lost = len(before[r.doc_id].text.encode()) - len(r.text.encode())
-        assert removed[r.doc_id] - 6 * (removed[r.doc_id] > 0) * 20 <= lost <= removed[r.doc_id]
-        assert r.n_chars == (len(r.text) if lost else before[r.doc_id].n_chars)
+    rows = {r.doc_id: r for r in single.collect()}
+    assert cut.dtypes == docs.dtypes
+    assert sorted(((r.doc_id, r.text) for r in cut.collect()), key=repr) == brute_words([(r.doc_id, r.text) for r in rows.values()], repeats.WORDS.width)
+    assert all(r.n_chars == (len(r.text) if r.text != rows[r.doc_id].text else rows[r.doc_id].n_chars) for r in cut.collect())
 
     clean = materialize(stages["benchmark_decontamination"](spark, cut, SF), "test")
-    bad = {r.doc_id for r in contamination.scan(cut, table(spark, SF, "benchmark")).filter("contaminated").collect()}
-    assert sorted(map(repr, clean.collect())) == sorted(repr(r) for r in cut.collect() if r.doc_id not in bad)
+    items = [(r.item_id, r.text) for r in table(spark, SF, "benchmark").collect()]
+    left = {r.doc_id: cut_spans(r.text, items) for r in cut.collect()}
+    assert clean.dtypes == docs.dtypes and {r.doc_id: r.text for r in clean.collect()} == {k: t for k, t in left.items() if t is not None}
+
+    pieces = materialize(stages["packing"](spark, clean, SF), "test").collect()
+    t = Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
+    own = defaultdict(list)
+    for p in sorted(pieces, key=lambda p: p.start):
+        own[p.doc_id] += np.frombuffer(p.ids, "<u4").tolist()
+    assert own == {r.doc_id: [*t.encode(r.text, add_special_tokens=False).ids, 1] for r in clean.collect()}
+
+
+PASSAGE = 51
+
 
-    pieces = stages["packing"](spark, clean, SF)
-    assert sorted(tuple(r) for r in pieces.drop("sequence_id", "offset", "ids").collect()) or clean.isEmpty()
-    assert pieces.selectExpr("sum(length)").first()[0] == packing.pack(clean, tokenizer("byte_bpe_50k.json")).selectExpr("sum(length)").first()[0]
+def test_planted_passages_of_over_fifty_words_go(spark, documents, words):
+    """Verbatim in several documents, whatever stands around them; documents without one stay as they are."""
+    planted = [words.text(n) for n in (PASSAGE, 60, 75, 300)]
+    rows = [(k, words.text(40 + k) + "\n" + planted[k % 4] + " " + words.text(60)) for k in range(12)] + [(k, words.text(120)) for k in range(12, 40)]
+    out = {r.doc_id: r.text for r in corpus_pipeline.suffix_array_dedup(spark, documents(rows), SF).collect()}
+    assert all(planted[k % 4] not in out[k] and len(out[k].split()) == 100 + k for k in range(12))
+    assert all(out[k] == t for k, t in rows[12:])
 
 
 def test_run_is_the_stages_in_a_row(spark):
@@ -73,20 +94,24 @@ def test_run_is_the_stages_in_a_row(spark):
 
 
 def test_every_stage_takes_hostile_and_empty_documents(spark, documents, hostile):
+    extra = ("key map<string,int>", "node string", "spans binary", "words array<string>", "stays int", "__key string")
     for rows in (hostile, []):
-        docs = documents(rows)
+        docs = documents(rows).drop("node", "key", "spans").selectExpr("*", *(f"CAST(NULL AS {x.split()[1]}) AS {x.split()[0]}" for x in extra))
         for name, stage in corpus_pipeline.STAGES:
             out = materialize(stage(spark, docs, SF), "test")
             if name != "packing":
-                assert out.columns == docs.columns
+                assert out.dtypes == docs.dtypes
                 docs = out
 
 
 def test_temporary_tables_go(spark):
     with temporary(spark):
+        with temporary(spark):
+            inner = materialize(spark.range(3), "test", keep=True)
+        assert inner.count() == 3
         gone = materialize(spark.range(3), "test")
         kept = materialize(gone.selectExpr("id + 1 AS id"), "test", keep=True)
-        files = gone.inputFiles()
+        files = gone.inputFiles() + inner.inputFiles()
     assert sorted(r.id for r in kept.collect()) == [1, 2, 3]
     store = Storage(spark)
     assert not any(store._fs(f).exists(store._path(f)) for f in files)
