@@ -23,8 +23,6 @@ from larkspur.llm.tokens import encoder
 from larkspur.llm.vectors import blocks
 
 SIZE = 2048
-#: Partly filled sequences of a task beyond which the emptiest half is closed, to bound memory.
-OPEN = 4096
 
 _PIECES = "doc_id long,start long,length long,ids_crc32 long,doc_tokens long,sequence_id long,offset long,ids binary"
 
@@ -53,10 +51,8 @@ class Packer:
         while n - at >= self.size:
             self.done.append([Piece(doc_id, at, ids[at : at + self.size], n)])
             at += self.size
-        if at < n:
-            self._place(Piece(doc_id, at, ids[at:], n))
-        if int(self.counts.sum()) > OPEN:
-            self.close(OPEN // 2)
+        if at < n:  # a copy, so that what waits for company does not keep a long document's ids
+            self._place(Piece(doc_id, at, ids[at:].copy(), n))
 
     def _place(self, piece: Piece) -> None:
         n = len(piece.ids)
@@ -70,15 +66,10 @@ class Packer:
             self.levels[level + n].append(sequence)
             self.counts[level + n] += 1
 
-    def close(self, keep: int = 0) -> None:
-        """Closes all but the `keep` emptiest sequences: pieces of the emptiest fill the gaps of the fullest."""
+    def close(self) -> None:
+        """Closes the partly filled sequences: pieces of the emptiest fill the gaps of the fullest."""
         left = [x for some in self.levels for x in some]  # from the emptiest to the fullest
-        held, left = left[:keep], left[keep:]
         self.counts[:], self.levels = 0, [[] for _ in range(self.size)]
-        for x in held:
-            level = sum(len(p.ids) for p in x)
-            self.levels[level].append(x)
-            self.counts[level] += 1
         loose: list[Piece] = []  # pieces of sequences that are cut up
         lo, hi = 0, len(left)
         while lo < hi or loose:
@@ -171,8 +162,11 @@ def _packed(path: str, end_id: int, with_ids: bool, added: bool) -> Callable[[It
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, with_ids: bool = True, added: bool = False) -> DataFrame:
     """Pieces of (doc_id, text) rows in sequences of SIZE ids, without a shuffle.
 
-    Null text is empty and has the end id only; every row is packed, repeated ones too; an empty table
-    gives no piece; other columns are ignored. A null doc_id stays null. ids holds the piece's ids as
+    Each task packs its partition by itself, in the order of its rows; it holds its partly filled sequences, so
+    less than the ids of a partition. Null text is empty and has the end id only; every row is packed, repeated
+    ones too; an empty table gives no piece; other columns are ignored. A null doc_id stays null. A very long
+    text is tokenized in pieces, and its whole sequences are closed at once. Of equally good levels the fullest
+    wins. ids holds the piece's ids as
     little-endian 32-bit values if with_ids is set. With `added`, a literal of one of the tokenizer's
     added tokens is that token's id, else it is text like any other.
     """
