@@ -3,8 +3,10 @@
 A page is parsed into a tree of elements. What is marked as something else than the article (menus,
 page headers and footers, sidebars, notices, adverts, forms, scripts, comments, hidden parts) is cut
 off. Every remaining element gets a density, its characters for each tag, weighted down by its share
-of link text, and a density sum over its children. The element with the largest sum is the core; the
-smallest density on its path from the body is the threshold that parts content from the rest.
+of link text, and a density sum over its children. The container with the largest sum is the article's
+subtree, whatever its tag or name. The smallest density on its path from the body is a threshold: the
+subtree grows to hold a neighbour that is as dense as that and weighs as much as a part of the article
+would.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ _ROWS = "page_id long,url string,text string,n_chars long"
 
 # Element names of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript template iframe svg math noframes xmp".split())
+RAW = set("script style textarea title noscript template iframe svg noframes xmp".split())
 BLOCKS = set(
     "html body address article aside blockquote center details dialog dd dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu "
     "nav ol option p pre search section select summary table caption tbody td tfoot th thead tr ul".split()
@@ -39,14 +41,18 @@ _SIBLINGS = {
 CUT = set("nav footer aside form menu button select input dialog canvas audio video object embed map search fieldset datalist head label".split()) | RAW
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar status tooltip".split())
 MARKS = set(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay "
-    "newsletter subscribe subscription signup login nav navbar navigation menu breadcrumb breadcrumbs sidebar sidebars aside footer header masthead topbar toolbar comment comments commentlist "
-    "respond reply replies disqus discussion share sharing social related recommended widget widgets pager pagination paywall skip".split()
+    "ad ads advert adverts advert-box advertisement advertisements advertising adsense sponsor sponsored promo promotion banner cookie cookies cookie-banner cookie-notice cookie-bar consent gdpr notice notices "
+    "notification alert popup modal overlay newsletter subscribe subscription signup login nav navbar navigation menu main-menu breadcrumb breadcrumbs sidebar sidebars header site-header page-header footer "
+    "site-footer page-footer masthead topbar toolbar share share-buttons sharing social social-share related related-posts widget widgets pager pagination paywall".split()
 )
+COMMENTS = set("comment comments comment-list comments-list comments-area comment-section commentlist respond reply replies disqus disqus_thread".split())
+#: Elements that only the words for reader comments cut, those that no word cuts, headings, and elements that hold a text and are no container of several.
+SECTIONS, KEPT = set("section ol ul dl figure table blockquote".split()), set("html body article main p pre h1 h2 h3 h4 h5 h6 hgroup a b i em strong span code math".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6 hgroup".split())
+TEXTS = HEADINGS | set("p pre li dt dd legend summary caption figcaption address option hr tr th".split())
 _TAG = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|!--(?:.*?--!?>|.*\Z)|[!?/][^>]*(?:>|\Z))", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'=<>/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
-_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-_SPACE = re.compile(r"[\s​]+")
+_SPACE = re.compile(r"\s+")
 
 
 class Node:
@@ -108,10 +114,13 @@ def parse(page: str) -> Node:
 
 
 def is_cut(node: Node, in_article: bool) -> bool:
-    """Whether an element is marked as something else than the article. An article's own header is part of it."""
+    """Whether an element is marked as something else than the article, by its tag, role, or a whole word of its class or id.
+
+    An article's own header is part of it.
+    """
     if node.tag in CUT or node.tag == "header" and not in_article:
         return True
-    if not node.attributes or node.tag in ("html", "body", "article", "main"):
+    if not node.attributes or node.tag in ("html", "body"):
         return False
     for name, a, b, c, hidden in _ATTRIBUTE.findall(node.attributes):
         name, value = name.lower(), a or b or c
@@ -119,14 +128,10 @@ def is_cut(node: Node, in_article: bool) -> bool:
             return True
         if name == "role" and value.lower() in ROLES:
             return True
-        if name in ("class", "id"):
-            for token in value.split():
-                words = [w.lower() for w in _WORD.findall(token)]
-                if words and words[0] in ("has", "with", "no", "without", "is"):
-                    continue
-                marks = MARKS.intersection(words)
-                if marks - {"header"} or marks and not in_article and "article" not in words and "entry" not in words and "post" not in words:
-                    return True
+        if name in ("class", "id") and node.tag not in KEPT:
+            found = {token.lower() for token in value.split()}
+            if found & COMMENTS or node.tag not in SECTIONS and found & MARKS:
+                return True
     return False
 
 
@@ -142,8 +147,8 @@ def _prune(root: Node) -> list[Node]:
     return out
 
 
-def _measure(nodes: list[Node], page_link_share: float | None = None) -> None:
-    """Characters, tags and densities, from the leaves up."""
+def _measure(nodes: list[Node]) -> None:
+    """Characters, tags (its own too), densities and density sums of each element, from the leaves up."""
     for node in reversed(nodes):
         node.chars = node.tags = node.link_chars = node.link_tags = 0
         for x in node.children:
@@ -158,7 +163,7 @@ def _measure(nodes: list[Node], page_link_share: float | None = None) -> None:
             node.link_chars = node.chars
     share = nodes[0].link_chars / max(1, nodes[0].chars)
     for node in reversed(nodes):
-        c, t, lc, lt = node.chars, max(1, node.tags), node.link_chars, max(1, node.link_tags)
+        c, t, lc, lt = node.chars, node.tags + 1, node.link_chars, max(1, node.link_tags)
         # The squared e keeps the logarithm's base over 1 on pages without links.
         base = math.log(c * lc / max(1, c - lc) + share * c + math.e**2)
         node.density = c / t * math.log(max(1.0, c / max(1, lc) * t / lt)) / math.log(base) if c else 0.0
@@ -168,55 +173,48 @@ def _measure(nodes: list[Node], page_link_share: float | None = None) -> None:
             node.total += min(own, c) * math.log(max(2, own)) / math.log(base)
 
 
-def _inside(node: Node | None, ancestor: Node) -> bool:
-    while node is not None:
-        if node is ancestor:
-            return True
-        node = node.parent
-    return False
-
-
 def content(root: Node) -> tuple[Node, float]:
     """The subtree with the article, and the density threshold."""
     nodes = _prune(root)
     _measure(nodes)
-    blocks = [x for x in nodes if x.tag in BLOCKS and x.chars]
-    if not blocks:
+    containers = [x for x in nodes if x.tag in BLOCKS and x.tag not in TEXTS and x.chars]
+    if not containers:
         return root, 0.0
-    core = max(blocks, key=lambda x: x.total)
+    top = core = max(reversed(containers), key=lambda x: x.total)  # of equals the innermost
     path, node = [], core
-    while node is not None:
-        if node.tag not in ("html", "body"):
-            path.append(node)
+    while node is not None and node.tag not in ("html", "body"):
+        path.append(node)
         node = node.parent
     threshold = min([x.density for x in path], default=0.0)
-    # All content: from each dense element the descendant with the largest sum; their common ancestor holds the article.
-    top, stack = core, [root]
-    while stack:
-        node = stack.pop()
-        for x in node.children:
-            if isinstance(x, str) or not x.chars:
-                continue
-            if x.tag in BLOCKS and x.density >= threshold and x.link_chars < 0.5 * x.chars:
-                while not _inside(x, top):
-                    top = top.parent
-            elif x.tag not in ("p", "li"):
-                stack.append(x)
-    node = top
-    while node is not None:
-        if node.tag == "article":
-            top = node
-        node = node.parent
+    for node in path:
+        if any(x is not node and _belongs(x, node, core, threshold) for x in node.parent.children):
+            top = node.parent
     return top, threshold
 
 
-def _is_link_list(node: Node) -> bool:
-    return node.tag in BLOCKS and node.link_tags >= 3 and node.link_chars >= 0.9 * node.chars
+def _belongs(x: Node | str, beside: Node, core: Node, threshold: float) -> bool:
+    """Whether an element is a part of the article beside the core: dense, with few links, and heavy or of the same kind."""
+    if isinstance(x, str) or x.tag not in BLOCKS or x.density < threshold or x.link_chars > 0.33 * x.chars:
+        return False
+    return x.total >= 0.25 * core.total or x.tag not in TEXTS and (x.tag, x.attributes) == (beside.tag, beside.attributes)
+
+
+def _is_menu(node: Node) -> bool:
+    """Whether an element is nothing but links within the site. A list of sources links to other hosts, and stays."""
+    if node.tag not in BLOCKS or node.link_tags < 3 or node.link_chars < 0.9 * node.chars:
+        return False
+    links, stack = [], [node]
+    while stack:
+        x = stack.pop()
+        if not isinstance(x, str):
+            links += [x] if x.tag == "a" else []
+            stack += x.children
+    return 2 * sum("//" in x.attributes for x in links) < len(links)
 
 
 def extract(page: str) -> str:
     """The article's blocks, one a line."""
-    top, threshold = content(parse(page))
+    top, _ = content(parse(page))
     lines: list[str] = []
     current: list[str] = []
 
@@ -226,7 +224,10 @@ def extract(page: str) -> str:
         if text:
             lines.append(text)
 
-    stack: list[Node | str | None] = [top]
+    # A headline may stand before the subtree.
+    beside = top.parent.children if top.parent is not None else [top]
+    before = [x for x in beside[: next(k for k, x in enumerate(beside) if x is top)] if not isinstance(x, str) and x.tag in HEADINGS]
+    stack: list[Node | str | None] = [top, *reversed(before)]
     while stack:
         x = stack.pop()
         if x is None:
@@ -235,7 +236,7 @@ def extract(page: str) -> str:
             current.append(x)
         elif x.tag == "br":
             current.append(" ")
-        elif x is not top and (_is_link_list(x) or x.parent is top and top.tag in ("html", "body") and x.tag in BLOCKS and x.density < threshold and x.link_chars > 0.33 * x.chars):
+        elif x is not top and _is_menu(x):
             flush()
         else:
             if x.tag in BLOCKS:
@@ -249,9 +250,10 @@ def extract(page: str) -> str:
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars for each row.
 
-    Null and empty pages, and pages without an article, have empty text. Each page is parsed whole, by
-    itself, so repeated rows repeat and no page size or count changes another's result. Null ids and urls
-    stay null; other columns are ignored.
+    Null and empty pages, and pages without an article, have empty text. Each page is parsed whole, however
+    long, by itself, so repeated rows repeat and no page size or count changes another's result. Of containers
+    with equal density sums the innermost counts. Null ids and urls stay null, an empty table gives no row,
+    other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

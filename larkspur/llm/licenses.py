@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from importlib.resources import files
 
 import numpy as np
 import pyarrow as pa
@@ -21,14 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import batch
-from larkspur.llm.vectors import ALNUM, LOWER, Block, Ranges, blocks, mix, words
+from larkspur.llm.vectors import ALNUM, Block, blocks, mix, word_hashes
 
 LEAST = 0.75
 
 _ROWS = "doc_id long,n_matches long,license string,dice double,licenses string"
 
 # Public licence notices and short licence texts, by SPDX identifier.
-TEMPLATES: list[tuple[str, str]] = [
+NOTICES: list[tuple[str, str]] = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "This project is licensed under the terms of the MIT license."),
@@ -77,6 +78,9 @@ TEMPLATES: list[tuple[str, str]] = [
     ),
     ("LicenseRef-proprietary", "All rights reserved."),
 ]
+#: Whole licences, which lie beside this module; a file is named by its SPDX identifier.
+TEXTS = [(x.name.removesuffix(".txt"), x.read_text()) for x in sorted(files("larkspur.llm").joinpath("licence_texts").iterdir(), key=lambda x: x.name)]
+TEMPLATES = NOTICES + TEXTS
 
 
 def dice(a: Counter, b: Counter) -> float:
@@ -89,17 +93,12 @@ def _bigrams(hashes: np.ndarray) -> np.ndarray:
     return mix(hashes[:-1] * np.uint64(3) + mix(hashes[1:])) if len(hashes) > 1 else np.zeros(0, np.uint64)
 
 
-def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return Ranges(data).hash(starts, ends) if len(starts) else np.zeros(0, np.uint64)
-
-
 class Scanner:
     def __init__(self, templates: list[tuple[str, str]], least: float):
         self.least, self.templates = least, []
         for name, text in templates:
-            data = LOWER[np.frombuffer(text.encode(), np.uint8)]
-            w = words(data, np.array([0, len(data)]), ALNUM)
-            self.templates.append((name, Counter(_bigrams(_hashes(data, w.starts, w.ends)).tolist())))
+            data = np.frombuffer(text.encode(), np.uint8)
+            self.templates.append((name, Counter(_bigrams(word_hashes(data, np.array([0, len(data)]), ALNUM)[1]).tolist())))
         self.templates.sort(key=lambda x: x[1].total())
         self.sizes = [x[1].total() for x in self.templates]
         self.known = np.unique(np.array([b for _, bag in self.templates for b in bag], np.uint64))
@@ -154,16 +153,15 @@ class Scanner:
 
     def rows(self, block: Block) -> list[list[tuple[float, str]]]:
         """For each row the matches of its passages: lines, paragraphs of several lines, the whole text, runs of lines."""
-        data = LOWER[block.data]
-        w = words(data, block.offsets, ALNUM)
+        w, hashes = word_hashes(block.data, block.offsets, ALNUM)
         out: list[list[tuple[float, str]]] = [[] for _ in range(block.hi - block.lo)]
         if len(w.starts) < 2:
             return out
-        grams = _bigrams(_hashes(data, w.starts, w.ends))
+        grams = _bigrams(hashes)
         at = np.minimum(np.searchsorted(self.known, grams), len(self.known) - 1)
         kinds = np.where(self.known[at] == grams, at, len(self.known))
         known = np.concatenate([[0], np.cumsum(kinds < len(self.known))])  # bigram k joins words k and k + 1
-        newlines = np.concatenate([[0], np.cumsum(data == 10)])
+        newlines = np.concatenate([[0], np.cumsum(block.data == 10)])
         between = np.zeros(len(w.starts), np.int64)  # newlines in front of each word
         between[1:] = newlines[w.starts[1:]] - newlines[w.ends[:-1]]
         between[w.first[:-1][w.first[:-1] < len(between)]] = 1 << 40
@@ -196,8 +194,10 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: f
 
     Of runs of lines, other than paragraphs and the whole text, only the best from each line for each licence counts, and
     only if it overlaps no other match of that licence that is as good; one more or less line makes no further match.
-    Without a match, as for null and empty texts, license is null, dice is 0 and licenses is empty. Repeated rows
-    repeat, other columns are ignored. The best match is the one with the largest coefficient, then the first by name.
+    Of passages with equal coefficients the first by name is the best match; of equal runs of a licence the shortest, then
+    the first, counts. Without a match, as for null and empty texts, license is null, dice is 0 and licenses is empty.
+    Texts are read whole, however long. Repeated rows repeat, a null doc_id stays null, an empty table gives no row, other
+    columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

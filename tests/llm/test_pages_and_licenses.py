@@ -1,8 +1,10 @@
 """Page text and licence scan."""
 
+import math
 import re
 from collections import Counter
 from html import unescape
+from random import Random
 
 import pytest
 
@@ -68,6 +70,84 @@ def test_templates_of_the_table(spark):
     assert {r.page_id: r.text for r in rows} == expected and all(r.n_chars == len(r.text) for r in rows)
 
 
+PLAIN = f"<div>{MENU}</div><div>Buy cheap things now, today only.</div><div>{BODY}{LONG * 4}</div><div>About us. Imprint. All about privacy.</div>"
+
+
+def long_text():
+    return EXPECTED + ("\n" + " ".join(re.sub("<[^>]*>", "", LONG).split())) * 4
+
+
+def test_density_selects_without_telling_tags_and_names():
+    """No article element and no class: the subtree is the one with the largest density sum."""
+    assert html.extract(f"<html><body>{PLAIN}</body></html>") == long_text()
+    assert html.extract(f"<table><tr><td>{MENU}</td><td>{BODY}{LONG * 4}</td></tr></table>") == long_text()
+    assert html.extract(f"<div><div>{MENU}</div><div><section>{BODY}{LONG}</section><section>{LONG * 3}</section></div><div>Imprint</div></div>") == long_text()
+
+
+def test_constant_densities_do_not(monkeypatch):
+    """The same page, and pages of the table without their article element, fail if densities say nothing."""
+    measure = html._measure
+
+    def constant(nodes):
+        measure(nodes)
+        for x in nodes:
+            x.density = x.total = 1.0
+
+    monkeypatch.setattr(html, "_measure", constant)
+    assert html.extract(f"<html><body>{PLAIN}</body></html>") != long_text()
+
+
+def test_pages_of_the_table_need_their_densities(spark, monkeypatch):
+    """Without the telling tags most pages give the same text, by density alone; with random densities hardly any does."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    whole = [html.extract(p) for p in pages]
+    bare = [re.sub(r"<(/?)(?:article|nav|footer)>", r"<\1div>", p).replace(' class="ad"', "") for p in pages]
+    assert sum(html.extract(p) == t for p, t in zip(bare, whole, strict=True)) > 0.85 * len(pages)
+    measure, random = html._measure, Random(1)
+
+    def noise(nodes):
+        measure(nodes)
+        for x in nodes:
+            x.density, x.total = random.random(), random.random()
+
+    monkeypatch.setattr(html, "_measure", noise)
+    assert sum(html.extract(p) == t for p, t in zip(bare, whole, strict=True)) < 0.4 * len(pages)
+
+
+def test_nothing_else_is_dropped_inside_the_article():
+    inside = "<section id='discussion'><h2 id='related-work'>Related work</h2><p class='share-price'>The price rose.</p><p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p></section><ul><li><a href='https://a.example/1'>One source</a></li><li><a href='https://b.example'>Two</a></li><li><a href=//c.example>Three</a></li></ul>"
+    got = html.extract(f"<article>{BODY}{inside}{LONG}<section id='comments'><p>First!</p></section><div class='x ad'>Buy</div></article>")
+    assert got == EXPECTED + "\nRelated work\nThe price rose.\nSo x=1 holds.\nOne source\nTwo\nThree\n" + " ".join(re.sub("<[^>]*>", "", LONG).split())
+    assert html.extract("<p>zero\u200bwidth</p>") == "zero\u200bwidth"
+
+
+def brute_sums(node, top):
+    """Density and sum of an element by the formula, from scratch."""
+    walk = lambda x: [x, *(z for y in x.children if not isinstance(y, str) for z in walk(y))]
+    chars = lambda x: sum(len(re.sub(r"\s+", " ", y).strip()) if isinstance(y, str) else chars(y) for y in x.children)
+    link = lambda x: chars(x) if x.tag == "a" else sum(link(y) for y in x.children if not isinstance(y, str))
+    share = link(top) / max(1, chars(top))
+
+    def density(x):
+        c, t, lc, lt = chars(x), len(walk(x)), link(x), max(1, sum(y.tag == "a" for y in walk(x)[1:]))
+        if not c:
+            return 0.0, 1.0
+        base = math.log(math.log(c / max(1, c - lc) * lc + share * c + math.e**2))
+        return c / t * math.log(max(1.0, c / max(1, lc) * t / lt)) / base, base
+
+    d, base = density(node)
+    own = sum(len(x.strip()) for x in node.children if isinstance(x, str))
+    return d, sum(density(x)[0] for x in node.children if not isinstance(x, str)) + (min(own, chars(node)) * math.log(max(2, own)) / base if own else 0)
+
+
+def test_densities_by_the_formula():
+    root = html.parse(f"<body><div>{MENU} text <a href=x>beside</a></div><div>{BODY}</div><p></p></body>")
+    nodes = html._prune(root)
+    html._measure(nodes)
+    for x in nodes:
+        assert (x.density, x.total) == pytest.approx(brute_sums(x, root))
+
+
 def test_hostile_rows(spark):
     rows = [(1, "u", None, 1), (2, None, "", 2), (None, "u", "<p>x</p>", 3), (4, "u", f"<article>{BODY}</article>", 4), (4, "u", f"<article>{BODY}</article>", 4)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
@@ -87,13 +167,19 @@ def bag(w):
     return Counter(zip(w, w[1:], strict=False))
 
 
+def dice(a, b):
+    """2 |A and B| / (|A| + |B|), bigram by bigram."""
+    total = sum(a.values()) + sum(b.values())
+    return 2 * sum(min(n, b[x]) for x, n in a.items() if x in b) / total if total else 0.0
+
+
 def brute(text, templates, least):
     """All passages, all templates, no bounds."""
     found = set()
     passages = [text, *text.split("\n"), *re.split(r"\n[^0-9a-zA-Z\x80-\U0010ffff]*\n", text)]
     for p in passages:
         for name, t in templates:
-            d = licenses.dice(bag(split(p)), bag(split(t)))
+            d = dice(bag(split(p)), bag(split(t)))
             if d >= least:
                 found.add((round(d, 9), name))
     return min(((-d, n) for d, n in found), default=(0.0, None))
@@ -102,7 +188,7 @@ def brute(text, templates, least):
 @pytest.fixture
 def noted(words):
     out = []
-    for k, (_, t) in enumerate(licenses.TEMPLATES):
+    for k, (_, t) in enumerate(licenses.NOTICES):
         half = " ".join(t.split()[: len(t.split()) // 2])
         wrapped = re.sub(r"((?:\S+ ){9})", r"\1\n", t)
         out += [words.text(30) + "\n" + t + "\n" + words.text(30), t.upper(), words.text(9) + "\n\n" + wrapped + "\n\n" + words.text(9), half, t + " " + words.text(3), words.text(40) + " " + t]
@@ -111,9 +197,9 @@ def noted(words):
 
 def test_matches_are_those_of_brute_force(documents, noted, hostile):
     rows = noted + [(1000 + k, t) for k, (_, t) in enumerate(hostile) if t and len(t) < 5000]
-    got = {r.doc_id: r for r in licenses.scan(documents(rows)).collect()}
+    got = {r.doc_id: r for r in licenses.scan(documents(rows), licenses.NOTICES).collect()}
     for doc_id, text in rows:
-        d, name = brute(text, licenses.TEMPLATES, licenses.LEAST)
+        d, name = brute(text, licenses.NOTICES, licenses.LEAST)
         assert (round(got[doc_id].dice, 9), got[doc_id].license) == (-d, name), text
         assert (got[doc_id].n_matches > 0) == (name is not None)
 
@@ -131,7 +217,7 @@ def test_several_licences(documents):
     assert (r.n_matches, r.dice, r.licenses) == (3, 1.0, "CC-BY-NC-4.0,LicenseRef-proprietary,MIT") and r.license == "CC-BY-NC-4.0"
 
 
-MIT = next(t for n, t in licenses.TEMPLATES if n == "MIT" and len(t) > 500)
+MIT = next(t for n, t in licenses.NOTICES if n == "MIT" and len(t) > 500)
 MIT_PARAGRAPHS = [MIT[: (a := MIT.index("The above"))], MIT[a : (b := MIT.index("THE SOFTWARE IS"))], MIT[b:]]
 
 
@@ -141,7 +227,7 @@ def runs(text, templates, least):
     for i in range(len(lines)):
         for j in range(i, len(lines)):
             b = bag([w for x in lines[i : j + 1] for w in x])
-            if best := min(((-d, n) for n, t in templates if (d := licenses.dice(b, t)) >= least), default=None):
+            if best := min(((-d, n) for n, t in templates if (d := dice(b, t)) >= least), default=None):
                 found.add(best)
     return min(found, default=(0.0, None)), ",".join(sorted({n for _, n in found}))
 
@@ -157,18 +243,33 @@ def test_licence_of_several_paragraphs_in_a_long_document(documents, words):
 
 
 def test_runs_of_lines_are_those_of_brute_force(documents, words):
-    r, rows, bags = words.random, [], [(n, bag(split(t))) for n, t in licenses.TEMPLATES]
+    r, rows, bags = words.random, [], [(n, bag(split(t))) for n, t in licenses.NOTICES]
     for k in range(60):
         parts = []
         for _ in range(r.randint(1, 3)):
-            w = words.vary(r.choice(licenses.TEMPLATES)[1], r.choice([0, 0, 0.03])).split(" ")
+            w = words.vary(r.choice(licenses.NOTICES)[1], r.choice([0, 0, 0.03])).split(" ")
             parts += [words.text(r.randint(1, 30)) for _ in range(r.randint(0, 2))]
             while w:
                 n = r.randint(1, 25)
                 parts.append(" ".join(w[:n]) + r.choice(["", "", "\n", "\n --"]))
                 w = w[n:]
         rows.append((k, "\n".join(parts)))
-    got = {r.doc_id: r for r in licenses.scan(documents(rows)).collect()}
+    got = {r.doc_id: r for r in licenses.scan(documents(rows), licenses.NOTICES).collect()}
     for k, text in rows:
         (d, name), names = runs(text, bags, licenses.LEAST)
         assert (got[k].dice, got[k].license, got[k].licenses) == (-d, name, names), text
+
+
+def test_whole_licences_in_long_documents(documents, words):
+    """Each licence's file as it is, within other text, and re-wrapped; and by brute force over all templates as a text of its own."""
+    names = [n for n, _ in licenses.TEXTS]
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"} <= set(names)
+    rows = []
+    for n, t in licenses.TEXTS:
+        rows += [(n, t), (n, words.text(300) + "\n\n" + t + "\n\n" + words.text(300)), (n, "\n".join("# " + " ".join(t.split()[k : k + 13]) for k in range(0, len(t.split()), 13)))]
+    got = {r.doc_id: r for r in licenses.scan(documents([(k, t) for k, (_, t) in enumerate(rows)])).collect()}
+    assert [got[k].license for k in range(len(rows))] == [n for n, _ in rows] and all(got[k].dice > 0.999 for k in range(len(rows)))
+    bags = [(n, bag(split(t))) for n, t in licenses.TEMPLATES]
+    for k in range(0, len(rows), 3):
+        own = bag(split(rows[k][1]))
+        assert (got[k].dice, got[k].license) == max((dice(own, b), n) for n, b in bags)
