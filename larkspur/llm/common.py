@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larkspur.sources.storage import Storage, scratch
 
@@ -76,6 +77,23 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def every(df: DataFrame) -> list[Column]:
+    """All columns of a frame, whatever their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def map_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """mapInArrow for columns of any name, which itself takes no dots; `run` may go by position only."""
+    names = [f"c{k}" for k in range(len(schema))]
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in run(batches):
+            yield pa.RecordBatch.from_arrays(b.columns, names=names)
+
+    plain = T.StructType([T.StructField(name, f.dataType) for name, f in zip(names, schema, strict=True)])
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns)))).mapInArrow(renamed, plain).toDF(*schema.names)
+
+
 def row_key(doc_id: Column, text: Column) -> Column:
     """16 bytes that tell rows apart by id and text; null and empty text are the same, a null id is not 0."""
     return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("|"), F.coalesce(text.cast("string"), F.lit("")))))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.common import batch, materialize, may_hold, membership, row_key, temporary, unused
+from larkspur.llm.common import batch, every, map_rows, materialize, may_hold, membership, row_key, temporary, unused
 from larkspur.llm.vectors import ALNUM, Block, Words, blocks, mix, word_hashes
 
 WINDOW = 13
@@ -259,7 +259,7 @@ def _with_hits(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[Data
                 count, runs, items = zip(*found, strict=True) if found else ((), (), ())
                 yield pa.RecordBatch.from_arrays([*b.columns, *_columns(count, runs, items)], names=schema.names)
 
-        return docs.mapInArrow(run, schema), names
+        return map_rows(docs, run, schema), names
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -272,8 +272,8 @@ def _with_hits(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[Data
     hits = _hits_of_many(docs, benchmark, window)
     key, *other = unused(docs, "key", "runs", "items")
     hits = hits.select(F.col("key").alias(key), F.col("runs").alias(other[0]), F.col("items").alias(other[1]))
-    joined = docs.withColumn(key, row_key(F.lit(None).cast("long"), docs["text"])).join(hits, key, "left").select(*docs.columns, *other)
-    return joined.mapInArrow(merge, schema), names
+    joined = docs.withColumn(key, row_key(F.lit(None).cast("long"), docs["text"])).join(hits, key, "left").select(*every(docs), *other)
+    return map_rows(joined, merge, schema), names
 
 
 def _hits_of_many(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
@@ -423,4 +423,4 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                     columns[count] = pa.array(n, columns[count].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return _with_hits(docs, benchmark, window)[0].mapInArrow(run, docs.schema)
+    return map_rows(_with_hits(docs, benchmark, window)[0], run, docs.schema)

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import batch, held_out
+from larkspur.llm.common import batch, held_out, map_rows
 
 #: Labelled documents learnt from, half of each label at most, and the longest that is; they are used whole. The fit is bounded, the scoring is not.
 SAMPLE_ROWS, SAMPLE_BYTES = 4000, 32 << 10
@@ -158,4 +158,4 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
                 some = b.slice(lo, 256)
                 yield some.filter(pa.array(of([x or b"" for x in some.column(at).cast(pa.large_binary()).to_pylist()]) >= THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run, docs.schema)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import batch, fetch, materialize, partitions, row_key, temporary, unused
+from larkspur.llm.common import batch, every, fetch, map_rows, materialize, partitions, row_key, temporary, unused
 from larkspur.llm.vectors import NOT_SPACE, SYMBOLS, Block, Ranges, blocks, word_hashes
 
 
@@ -40,6 +40,7 @@ class Windows:
     width: int
     run: int
     of_words: bool = False
+    block: int = 1 << 20  # tokens that are sorted at once
 
     def tokens(self, block: Block) -> Tokens:
         if not self.of_words:
@@ -58,8 +59,8 @@ class Tokens(NamedTuple):
 
 BYTES = Windows(400, 192)
 WORDS = Windows(50, 24, True)
-#: Tokens that are sorted at once, and bytes of a chunk.
-BLOCK_TOKENS, CHUNK_BYTES = 1 << 20, 3 << 20
+#: Bytes of a chunk.
+CHUNK_BYTES = 3 << 20
 #: Suffixes by their distance from the anchor, so that a frequent anchor is several groups.
 PART = 64
 #: Places of an anchor beyond which its windows go by their own fingerprints.
@@ -109,14 +110,14 @@ class Suffixes:
 def stretches(tokens: Tokens, windows: Windows) -> Iterator[tuple[int, int, Suffixes]]:
     """The suffixes of a block: all at once, or those of a very long row in stretches that overlap by a window, with the first token and row."""
     values, offsets = tokens.values, tokens.offsets
-    if len(values) <= 2 * BLOCK_TOKENS:
+    if len(values) <= 2 * windows.block:
         yield 0, 0, Suffixes(values, offsets, windows)
         return
     for row, (a, z) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
         if z - a < windows.width:
             continue
-        for lo in range(a, z - windows.width + 1, BLOCK_TOKENS):
-            hi = min(lo + BLOCK_TOKENS + windows.width - 1, z)
+        for lo in range(a, z - windows.width + 1, windows.block):
+            hi = min(lo + windows.block + windows.width - 1, z)
             yield lo, row, Suffixes(values[lo:hi], np.array([0, hi - lo]), windows)
 
 
@@ -125,7 +126,7 @@ def _anchors(windows: Windows) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
         """The anchors of each text with the number of places, and a row without an anchor for each row that has any."""
         for b in batches:
             texts, keys = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for x in blocks(b.column(2), BLOCK_TOKENS):
+            for x in blocks(b.column(2), windows.block):
                 tokens = windows.tokens(x)
                 for lo, base, s in stretches(tokens, windows):
                     places = np.flatnonzero(np.diff(s.at, prepend=-1))
@@ -168,7 +169,7 @@ class Chunk:
         kept = []
         for b in table.to_batches():
             wanted, often = (np.unique(b.column(c).flatten().to_numpy()) for c in ("anchors", "frequent"))
-            for x in blocks(b.column("text"), BLOCK_TOKENS):
+            for x in blocks(b.column("text"), windows.block):
                 tokens, starts = windows.tokens(x), []
                 for lo, base, s in stretches(tokens, windows):
                     use = np.flatnonzero(_among(s.anchor, wanted))
@@ -357,7 +358,7 @@ def without_repeats(docs: DataFrame, windows: Windows = WORDS) -> DataFrame:
     key, cuts, spans_key = unused(docs, "key", "spans", "spans_key")
     with temporary(docs.sparkSession):
         spans = materialize(repeated_spans(docs, windows).select(F.col("text_key").alias(spans_key), F.col("spans").alias(cuts)), "spans", keep=True)
-    joined = docs.withColumn(key, text_key(docs["text"])).join(spans, F.col(key) == F.col(spans_key), "left").select(*names, cuts)
+    joined = docs.withColumn(key, text_key(docs["text"])).join(spans, F.col(key) == F.col(spans_key), "left").select(*every(docs), cuts)
     at = names.index("text")
     count = names.index("n_chars") if dict(docs.dtypes).get("n_chars") in ("int", "bigint") else None
 
@@ -385,4 +386,4 @@ def without_repeats(docs: DataFrame, windows: Windows = WORDS) -> DataFrame:
                     columns[count] = pa.array(n, columns[count].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return joined.mapInArrow(cut, docs.schema)
+    return map_rows(joined, cut, docs.schema)

@@ -117,7 +117,7 @@ def test_decontaminated_cuts_spans_and_drops_documents(spark, documents, words,
 
 def test_clashing_columns_and_ids_with_commas(spark, words):
     a, b = words.text(20), words.text(20)
-    schema = "doc_id long, text string, words string, runs map<string,int>, items int, key string"
+    schema = "doc_id long, text string, words string, runs map<string,int>, items int, `k.e` string"
     df = spark.createDataFrame([(1, a, "w", {"x": 1}, 2, "k"), (2, words.text(30), "v", None, 3, "l"), (3, b + " " + a, None, {}, None, None)], schema)
     bench = spark.createDataFrame([("a,b", a), ("c", b)], "item_id string, text string")
     rows = sorted(contamination.scan(df, bench).collect())

@@ -94,9 +94,9 @@ def test_run_is_the_stages_in_a_row(spark):
 
 
 def test_every_stage_takes_hostile_and_empty_documents(spark, documents, hostile):
-    extra = ("key map<string,int>", "node string", "spans binary", "words array<string>", "stays int", "__key string")
+    extra = ("key map<string,int>", "node string", "spans binary", "words array<string>", "stays int", "__key string", "a.b int")
     for rows in (hostile, []):
-        docs = documents(rows).drop("node", "key", "spans").selectExpr("*", *(f"CAST(NULL AS {x.split()[1]}) AS {x.split()[0]}" for x in extra))
+        docs = documents(rows).drop("node", "key", "spans").selectExpr("*", *(f"CAST(NULL AS {x.split()[1]}) AS `{x.split()[0]}`" for x in extra))
         for name, stage in corpus_pipeline.STAGES:
             out = materialize(stage(spark, docs, SF), "test")
             if name != "packing":
