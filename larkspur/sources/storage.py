@@ -84,3 +84,7 @@ class Storage:
 
     def size(self, path: str) -> int:
         return self._fs(path).getFileStatus(self._path(path)).getLen()
+
+    def total(self, folder: str) -> int:
+        """Bytes of all files in a folder."""
+        return self._fs(folder).getContentSummary(self._path(folder)).getLength()
