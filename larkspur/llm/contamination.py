@@ -236,17 +236,15 @@ def _matcher(name: str, group: Broadcast, window: int) -> Matcher:
     return _matchers[name]
 
 
-_FOUND = [T.StructField("words", T.LongType()), T.StructField("runs", T.BinaryType()), T.StructField("items", T.ArrayType(T.StringType()))]
+def _found(columns: list[pa.Array], count: list[int], runs: list[list[tuple[int, int]]], items: list[set]) -> pa.RecordBatch:
+    """A batch with what was found in each row in three further columns: words, hit runs, item ids."""
+    columns = [*columns, pa.array(count, pa.int64()), pa.array([np.array(r, "<i8").tobytes() for r in runs], pa.binary()), pa.array([sorted(i, key=lambda x: (x is None, x or "")) for i in items], pa.list_(pa.string()))]
+    return pa.RecordBatch.from_arrays(columns, names=[f"c{k}" for k in range(len(columns))])
 
 
-def _columns(count: list[int], runs: list[list[tuple[int, int]]], items: list[set]) -> list[pa.Array]:
-    return [pa.array(count, pa.int64()), pa.array([np.array(r, "<i8").tobytes() for r in runs], pa.binary()), pa.array([sorted(i, key=lambda x: (x is None, x or "")) for i in items], pa.list_(pa.string()))]
-
-
-def _with_hits(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[DataFrame, list[str]]:
-    """The documents with what was found in each in three further columns, whose names are returned too: words, hit runs, item ids."""
-    spark, names = docs.sparkSession, unused(docs, *(f.name for f in _FOUND))
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(name, f.dataType) for name, f in zip(names, _FOUND, strict=True))])
+def _with_hits(docs: DataFrame, benchmark: DataFrame, window: int, finish: Callable[[pa.RecordBatch], pa.RecordBatch], schema: T.StructType) -> DataFrame:
+    """What `finish` makes of each batch of documents and what was found in them."""
+    spark = docs.sparkSession
     groups = item_groups(benchmark, GROUP_BYTES, window)
     first, second = next(groups, []), next(groups, None)
     width, at = len(docs.columns), docs.columns.index("text")
@@ -257,9 +255,9 @@ def _with_hits(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[Data
             for b in batches:
                 found = [x for block in blocks(b.column(at)) for x in hits_by_row(_matcher(name, shared, window), block)]
                 count, runs, items = zip(*found, strict=True) if found else ((), (), ())
-                yield pa.RecordBatch.from_arrays([*b.columns, *_columns(count, runs, items)], names=schema.names)
+                yield finish(_found(b.columns, count, runs, items))
 
-        return map_rows(docs, run, schema), names
+        return map_rows(docs, run, schema)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -267,13 +265,13 @@ def _with_hits(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[Data
             parts = [b.column(width + k).to_pylist() for k in (0, 1)]
             runs = [merged([tuple(p) for raw in some or () for p in np.frombuffer(raw, "<i8").reshape(-1, 2).tolist()]) for some in parts[0]]
             items = [{i for more in some or () for i in more} for some in parts[1]]
-            yield pa.RecordBatch.from_arrays([*b.columns[:width], *_columns(count, runs, items)], names=schema.names)
+            yield finish(_found(b.columns[:width], count, runs, items))
 
     hits = _hits_of_many(docs, benchmark, window)
     key, *other = unused(docs, "key", "runs", "items")
     hits = hits.select(F.col("key").alias(key), F.col("runs").alias(other[0]), F.col("items").alias(other[1]))
     joined = docs.withColumn(key, row_key(F.lit(None).cast("long"), docs["text"])).join(hits, key, "left").select(*every(docs), *other)
-    return map_rows(joined, merge, schema), names
+    return map_rows(joined, merge, schema)
 
 
 def _hits_of_many(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
@@ -358,17 +356,16 @@ def _streamed(group: Broadcast, window: int) -> Callable[[Iterator[pa.RecordBatc
     return run
 
 
-def _digest(share: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n, items = b.column(2).to_pylist(), b.column(4).to_pylist()
-            hit = [sum(z - a for a, z in _pairs(r)) for r in b.column(3).to_pylist()]
-            yield batch(
-                _ROWS, doc_id=b.column(0), n_words=n, n_hit=hit, n_items=[len(x) for x in items],
-                items_sha256=[hashlib.sha256(",".join(i for i in x if i is not None).encode()).hexdigest() for x in items], contaminated=[h > 0 and share * h >= k for h, k in zip(hit, n, strict=True)],
-            )
+def _digest(share: int) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+    def finish(b: pa.RecordBatch) -> pa.RecordBatch:
+        n, items = b.column(2).to_pylist(), b.column(4).to_pylist()
+        hit = [sum(z - a for a, z in _pairs(r)) for r in b.column(3).to_pylist()]
+        return batch(
+            _ROWS, doc_id=b.column(0), n_words=n, n_hit=hit, n_items=[len(x) for x in items],
+            items_sha256=[hashlib.sha256(",".join(i for i in x if i is not None).encode()).hexdigest() for x in items], contaminated=[h > 0 and share * h >= k for h, k in zip(hit, n, strict=True)],
+        )
 
-    return run
+    return finish
 
 
 def _pairs(raw: bytes) -> list[list[int]]:
@@ -385,7 +382,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int
     row, and other columns are ignored, whatever their names.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return _with_hits(rows, benchmark, window)[0].mapInArrow(_digest(share), _ROWS)
+    return _with_hits(rows, benchmark, window, _digest(share), T.StructType.fromDDL(_ROWS))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE) -> DataFrame:
@@ -400,27 +397,26 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     names, at, width = docs.columns, docs.columns.index("text"), len(docs.columns)
     count = names.index("n_chars") if dict(docs.dtypes).get("n_chars") in ("int", "bigint") else None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            runs = [_pairs(r) for r in b.column(width + 1).to_pylist()]
-            hit = [sum(z - a for a, z in r) for r in runs]
-            keep = [not (h and share * h >= n) for h, n in zip(hit, b.column(width).to_pylist(), strict=True)]
-            kept = b.filter(pa.array(keep, pa.bool_()))
-            columns = [kept.column(k) for k in range(width)]
-            runs = [[x for x in r if x[1] - x[0] >= window] for r, stays in zip(runs, keep, strict=True) if stays]
-            if any(runs):
-                texts, n = columns[at].to_pylist(), columns[count].to_pylist() if count is not None else None
-                for k, spans in enumerate(runs):
-                    if spans:
-                        raw = texts[k].encode()
-                        w, _ = word_hashes(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), ALNUM)
-                        edges = [0, *(int(e) for a, z in spans for e in (w.starts[a], w.ends[z - 1])), len(raw)]
-                        texts[k] = b"".join(raw[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True)).decode()
-                        if n:
-                            n[k] = len(texts[k])
-                columns[at] = pa.array(texts, columns[at].type)
-                if n:
-                    columns[count] = pa.array(n, columns[count].type)
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return map_rows(_with_hits(docs, benchmark, window)[0], run, docs.schema)
+    def finish(b: pa.RecordBatch) -> pa.RecordBatch:
+        runs = [_pairs(r) for r in b.column(width + 1).to_pylist()]
+        hit = [sum(z - a for a, z in r) for r in runs]
+        keep = [not (h and share * h >= n) for h, n in zip(hit, b.column(width).to_pylist(), strict=True)]
+        kept = b.filter(pa.array(keep, pa.bool_()))
+        columns = [kept.column(k) for k in range(width)]
+        runs = [[x for x in r if x[1] - x[0] >= window] for r, stays in zip(runs, keep, strict=True) if stays]
+        if any(runs):
+            texts, n = columns[at].to_pylist(), columns[count].to_pylist() if count is not None else None
+            for k, spans in enumerate(runs):
+                if spans:
+                    raw = texts[k].encode()
+                    w, _ = word_hashes(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), ALNUM)
+                    edges = [0, *(int(e) for a, z in spans for e in (w.starts[a], w.ends[z - 1])), len(raw)]
+                    texts[k] = b"".join(raw[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True)).decode()
+                    if n:
+                        n[k] = len(texts[k])
+            columns[at] = pa.array(texts, columns[at].type)
+            if n:
+                columns[count] = pa.array(n, columns[count].type)
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    return _with_hits(docs, benchmark, window, finish, docs.schema)
