@@ -14,8 +14,11 @@ from pyspark.sql import types as T
 
 from larkspur.sources.storage import Storage, scratch
 
-#: Spark removes a query's shuffle files when the query ends, instead of when the driver next collects garbage.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: Spark removes the query's shuffle files when it ends, instead of when the driver next collects
+#: garbage, and sends Python batches of some megabytes of text.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+#: Bytes of a table's files up to which it is broadcast.
+LIGHT_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,12 +47,21 @@ def materialize(df: DataFrame, what: str, keep: bool = False) -> DataFrame:
 def materialize_to(df: DataFrame, path: str) -> None:
     """Writes the rows; the shuffle files behind them go when that is done."""
     conf = df.sparkSession.conf
-    before = conf.get(_CLEANUP, None)
-    conf.set(_CLEANUP, "true")
+    before = {k: conf.get(k, None) for k in _WRITING}
+    for k, v in _WRITING.items():
+        conf.set(k, v)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        conf.set(_CLEANUP, before) if before is not None else conf.unset(_CLEANUP)
+        for k, v in before.items():
+            conf.set(k, v) if v is not None else conf.unset(k)
+
+
+def light(df: DataFrame) -> DataFrame:
+    """A materialized table, marked for broadcasting if its files have LIGHT_BYTES at most; larger ones are joined by shuffling."""
+    files = df.inputFiles()
+    size = Storage(df.sparkSession).total(files[0].rsplit("/", 1)[0]) if files else 0
+    return F.broadcast(df) if size <= LIGHT_BYTES else df
 
 
 @contextmanager

@@ -96,8 +96,8 @@ def test_divided_lists_give_the_same(documents, words, monkeypatch, name):
     assert joined(documents(rows)) == brute(rows)
 
 
-def test_streams_do_not_depend_on_batches():
-    """Postings and crossing pairs are the same however the sorted rows are cut into batches."""
+def test_streams_do_not_depend_on_batches(monkeypatch):
+    """Postings and crossing pairs are the same however the sorted rows are cut into batches, and pairs into portions."""
     rng = np.random.default_rng(2)
     n = 400
     token, node = rng.integers(0, 60, n), rng.integers(0, 30, n)
@@ -112,12 +112,13 @@ def test_streams_do_not_depend_on_batches():
         if len(rows) > 1 or k:
             expected |= {(t, v, p, rows[0][1], rows[0][0]) for p, v in rows}
     first, second = np.zeros(n, int), (token % 3 == 0).astype(int)
-    crossing = pa.table({"token": token, "first": first, "second": second, "share": np.where(second, node % 2, 0), "node": node, "place": place, "component": node // 3}).combine_chunks().to_batches()[0]
+    crossing = pa.table({"token": token, "first": first, "second": second, "share": np.where(second, node % 2, 0), "node": node, "place": place, "component": node // 3, "finger": [bytes([255] * 128)] * n}).combine_chunks().to_batches()[0]
     results = []
     for size in (1, 2, 3, 7, 50, n):
         cut = lambda rows, size=size: iter([rows.slice(k, size) for k in range(0, n, size)])
         shared = [tuple(r.values()) for b in jaccard._shared(cut(postings)) for r in b.to_pylist()]
         assert len(shared) == len(set(shared)) and set(shared) == expected
+        monkeypatch.setattr(jaccard, "PAIRS", 7 * size)
         results.append(sorted(str(r) for b in jaccard._cross(cut(crossing)) for r in b.to_pylist()))
     assert all(r == results[0] for r in results) and results[0]
 
@@ -199,6 +200,63 @@ def test_more_vectors_need_more_bits():
     assert 1 - (1 - same**bits) ** tables >= embeddings.RECALL
 
 
+def test_many_texts_under_one_id(documents, words, monkeypatch):
+    """Each text is fetched once, not once for each text of its id."""
+    base = words.text(70)
+    rows = [(1, words.vary(base, 0.01)) for _ in range(60)] + [(1, base)] * 40 + [(2, base + " end"), (3, words.text(70))]
+    fetched = []
+    real = jaccard.fetch
+
+    def counted(*args):
+        out = real(*args)
+        fetched.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "fetch", counted)
+    assert joined(documents(rows)) == brute(rows)
+    assert max(fetched) <= len({t for _, t in rows})
+
+
+def test_names_that_two_sets_share(documents, words, monkeypatch):
+    """Sets whose 64-bit names are equal go by their second names."""
+    real = jaccard._sums
+    monkeypatch.setattr(jaccard, "_sums", lambda value, first, seed: real(value, first, seed) % (5 if seed == 0x5851F42D4C957F2D else 1 << 62) + (np.diff(first) > 0))
+    rng = np.random.default_rng(0)
+    value = rng.integers(1, 1 << 62, 40).astype(np.uint64)
+    first = np.arange(0, 41, 4)
+    names, second = jaccard.nodes(value, first), jaccard.checks(value, first)
+    assert len(set(names.tolist())) < 10 == len(set(second.tolist()))
+    crowded = frozenset(names.tolist())
+    assert jaccard.nodes(value, first, crowded).tolist() == second.tolist()
+    assert jaccard.nodes(value, first, frozenset({int(names[0])})).tolist() == [s if k == names[0] else k for k, s in zip(names.tolist(), second.tolist(), strict=True)]
+
+
+def test_bitmaps_bound_the_overlap():
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        pool = rng.integers(1, 1 << 62, 400).astype(np.uint64)
+        sets = [np.unique(rng.choice(pool, int(rng.integers(1, 300)))) for _ in range(2)]
+        value, first = np.concatenate(sets), np.cumsum([0] + [len(x) for x in sets])
+        row = np.repeat([0, 1], np.diff(first))
+        s, t = jaccard.sketches(row, value, first)
+        shared = len(np.intersect1d(*sets))
+        n, m = (len(x) for x in sets)
+        assert shared <= jaccard.most_overlap(n, m, s, t) <= min(n, m)
+        bits = [x.tobytes() for x in jaccard.fingers(row, value, first)]
+        assert shared <= jaccard.most_overlap(n, m, *bits)
+    assert jaccard.most_overlap(n, n, s[:8] * 2, s[:8] * 2) == n
+
+
+def test_maps_and_clashing_columns_stay(spark, words):
+    text = words.text(40)
+    schema = "doc_id long, text string, key map<string,int>, n array<int>, node string, `a.b` int, sketch binary"
+    rows = [(1, text, {"a": 1}, [1], "x", 1, b"1"), (1, text, {"a": 1}, [1], "x", 1, b"1"), (2, text + " more", None, None, None, None, None), (3, None, {}, [], "", 0, b""), (3, None, {}, [], "", 0, b""), (None, words.text(9), None, None, None, None, None)]
+    df = spark.createDataFrame(rows, schema)
+    kept = jaccard.deduplicated(df)
+    assert kept.dtypes == df.dtypes
+    assert sorted(map(str, kept.collect())) == sorted(str(r) for k, r in enumerate(df.collect()) if k not in (1, 2))
+
+
 def test_rows_without_an_id_bridge_others(documents, words):
     """b shares 62 of 70 shingles with a and with c, which share 54: only b, without an id, links them."""
     w = words.text(90).split(" ")
