@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import batch, every, fetch, map_rows, materialize, partitions, row_key, temporary, unused
+from larkspur.llm.common import batch, every, fetch, light, map_rows, materialize, partitions, row_key, temporary, unused
 from larkspur.llm.vectors import NOT_SPACE, SYMBOLS, Block, Ranges, blocks, word_hashes
 
 
@@ -358,7 +358,7 @@ def without_repeats(docs: DataFrame, windows: Windows = WORDS) -> DataFrame:
     key, cuts, spans_key = unused(docs, "key", "spans", "spans_key")
     with temporary(docs.sparkSession):
         spans = materialize(repeated_spans(docs, windows).select(F.col("text_key").alias(spans_key), F.col("spans").alias(cuts)), "spans", keep=True)
-    joined = docs.withColumn(key, text_key(docs["text"])).join(spans, F.col(key) == F.col(spans_key), "left").select(*every(docs), cuts)
+    joined = docs.withColumn(key, text_key(docs["text"])).join(light(spans), F.col(key) == F.col(spans_key), "left").select(*every(docs), cuts)
     at = names.index("text")
     count = names.index("n_chars") if dict(docs.dtypes).get("n_chars") in ("int", "bigint") else None
 
