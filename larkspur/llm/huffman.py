@@ -1,10 +1,14 @@
 """Token ids as canonical, length-limited Huffman code in independent blocks.
 
 The file format is a folder of Parquet files, so that any store that Spark reaches can hold it. A row
-is one block: the ids of consecutive documents, in ascending doc_id order. Code lengths come from the
-ids' counts over the whole corpus, the codes are the canonical ones of those lengths, and
+of `blocks` is one block: the ids of consecutive documents, in ascending doc_id order. Code lengths come
+from the ids' counts over the whole corpus, the codes are the canonical ones of those lengths, and
 `checkpoints` holds the bit offset of every CHECKPOINT-th id, from which decoding can start. The code
-lengths lie beside the blocks, one row an id.
+lengths lie beside the blocks in `lengths`, one row an id, and `parts` says how many ids stand before
+each range of documents.
+
+Texts are tokenized where they are read, and counted in the same pass; only ids, two bytes each where
+the vocabulary allows, are sorted by doc_id.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import batch, materialize, partitions
+from larkspur.llm.common import batch, materialize, materialize_to, partitions, temporary
 from larkspur.llm.tokens import encoder
 from larkspur.llm.vectors import blocks
 from larkspur.sources.storage import scratch
@@ -27,8 +31,11 @@ CHECKPOINT = 256
 #: ids after which a block is closed; a document is never divided.
 BLOCK_IDS = 1 << 18
 
-_RAW = "part int,block int,before long,doc_ids binary,doc_nulls binary,lengths binary,ids binary"
-_CODED = "part int,block int,first long,doc_ids binary,doc_nulls binary,lengths binary,n_ids long,bits binary,checkpoints binary"
+#: ids of a long document that are one row until it is coded.
+SLICE_IDS = 1 << 22
+
+_RAW = "doc_id long,tie binary,place long,slice int,n long,ids binary,width int,id long,times long"
+_CODED = "part int,block int,before long,doc_ids binary,doc_nulls binary,lengths binary,n_ids long,bits binary,checkpoints binary"
 
 
 def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
@@ -116,93 +123,123 @@ class Code:
         return out.reshape(-1)[:n]
 
 
-def _tokenized(path: str, end_id: int, added: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Blocks of raw ids, in the order of the partition's rows."""
-
-    def flush(part: int, block: int, before: int, docs: list, ids: list[np.ndarray]) -> pa.RecordBatch:
-        nulls = np.array([d is None for d in docs])
-        return batch(
-            _RAW, part=[part], block=[block], before=[before], doc_ids=[np.array([d or 0 for d in docs], "<i8").tobytes()], doc_nulls=[nulls.tobytes()],
-            lengths=[np.array([len(x) for x in ids], "<i8").tobytes()], ids=[np.concatenate(ids).astype("<u4").tobytes()],
-        )
+def _tokenized(path: str, end_id: int, added: bool, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The ids of each row, with the end id, in slices of `most`, and how often the task has met each id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, code, end = TaskContext.get().partitionId(), encoder(path, added), np.array([end_id], np.uint32)
-        block, before, docs, ids, size = 0, 0, [], [], 0
+        code, total = encoder(path, added), np.zeros(1, np.int64)
+        # Rows that are equal in id and text are told apart by where they were read, so that any number of them is dealt out.
+        place = TaskContext.get().partitionId() << 40
         for b in batches:
-            names = b.column(0).to_pylist()
-            for x in blocks(b.column(1)):
+            names, ties = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for x in blocks(b.column(2)):
                 got, at = code.rows(x.data, x.offsets)
+                count = np.bincount(got, minlength=len(total))
+                count[: len(total)] += total
+                total = count
+                rows: list[tuple] = []
                 for k in range(x.hi - x.lo):
-                    docs.append(names[x.lo + k])
-                    ids.append(np.concatenate([got[at[k] : at[k + 1]], end]))
-                    size += len(ids[-1])
-                    if size >= BLOCK_IDS:
-                        yield flush(part, block, before, docs, ids)
-                        block, before, docs, ids, size = block + 1, before + size, [], [], 0
+                    ids = np.append(got[at[k] : at[k + 1]], np.uint32(end_id))
+                    for j, lo in enumerate(range(0, len(ids), most)):
+                        some = ids[lo : lo + most]
+                        width = 2 if int(some.max()) < 1 << 16 else 4
+                        rows.append((names[x.lo + k], ties[x.lo + k], place + k, j, len(ids) if not j else 0, some.astype(f"<u{width}").tobytes(), width))
+                place += x.hi - x.lo
+                total = np.pad(total, (0, max(0, end_id + 1 - len(total))))
+                total[end_id] += x.hi - x.lo
+                doc_id, tie, at_place, part, n, ids, width = zip(*rows, strict=True)
+                none = [None] * len(rows)
+                yield batch(_RAW, doc_id=doc_id, tie=tie, place=at_place, slice=part, n=n, ids=ids, width=width, id=none, times=none)
+        used = np.flatnonzero(total)
+        none = [None] * len(used)
+        yield batch(_RAW, doc_id=none, tie=none, place=none, slice=none, n=none, ids=none, width=none, id=used, times=total[used])
+
+    return run
+
+
+def _blocks(lengths: np.ndarray, limit: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Coded blocks of the documents of a partition, which come in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, code, block, before = TaskContext.get().partitionId(), Code(lengths, limit), 0, 0
+        docs: list[int | None] = []
+        sizes: list[int] = []
+        held: list[np.ndarray] = []
+        have = 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal block, before, docs, sizes, held, have
+            ids = np.concatenate(held)
+            words, marks = code.encode(ids)
+            out = batch(
+                _CODED, part=[part], block=[block], before=[before], doc_ids=[np.array([d or 0 for d in docs], "<i8").tobytes()], doc_nulls=[np.array([d is None for d in docs]).tobytes()],
+                lengths=[np.array(sizes, "<i8").tobytes()], n_ids=[len(ids)], bits=[words.tobytes()], checkpoints=[marks.astype("<i8").tobytes()],
+            )
+            block, before = block + 1, before + len(ids)
+            docs, sizes, held, have = [], [], [], 0
+            return out
+
+        for b in batches:
+            for doc_id, n, raw, width in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                if n:  # the first slice of a document
+                    if have >= most:
+                        yield flush()
+                    docs.append(doc_id)
+                    sizes.append(n)
+                held.append(np.frombuffer(raw, f"<u{width}"))
+                have += len(held[-1])
         if docs:
-            yield flush(part, block, before, docs, ids)
+            yield flush()
 
     return run
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, limit: int = 16, added: bool = False) -> None:
-    """Encodes (doc_id, text) rows into a folder: `path`/blocks and `path`/lengths.
+    """Encodes (doc_id, text) rows into a folder: `path`/blocks, `path`/lengths and `path`/parts.
 
-    Null text is empty and has the end id only. Equal doc_ids stay neighbours in either order; a null
-    doc_id comes first. An empty table gives no block. Other columns are ignored. With `added`, a literal
-    of one of the tokenizer's added tokens is that token's id, else it is text like any other.
+    Null text is empty and has the end id only. Rows of equal doc_ids are neighbours, ordered by a hash of
+    their texts; repeated rows repeat; a null doc_id comes first. A very long text is tokenized in pieces and
+    moved in slices; its codes are one block. An empty table gives no block. Other columns are ignored. With
+    `added`, a literal of one of the tokenizer's added tokens is that token's id, else it is text like any other.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id")
-    raw = materialize(rows.mapInArrow(_tokenized(tokenizer, end_id, added), _RAW), "ids")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1, np.int64)
-        for b in batches:
-            for x in b.column(0):
-                got = np.bincount(np.frombuffer(x.as_buffer(), "<u4"))
-                total = got + np.pad(total, (0, max(0, len(got) - len(total))))[: len(got)] if len(got) >= len(total) else total + np.pad(got, (0, len(total) - len(got)))
-        used = np.flatnonzero(total)
-        yield batch("id long,n long", id=used, n=total[used])
-
-    counted = raw.select("ids").mapInArrow(count, "id long,n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # a row an id of the vocabulary
-    counts = np.zeros(max((r.id for r in counted), default=0) + 1, np.int64)
-    for r in counted:
-        counts[r.id] = r.n
-    limit = max(limit, int(np.ceil(np.log2(max(2, len(counted))))))
-    lengths = code_lengths(counts, limit)
-    spark.createDataFrame([(int(k), int(n), limit) for k, n in enumerate(lengths) if n], "id int,bits int,max_bits int").coalesce(1).write.parquet(f"{path}/lengths")
-
-    totals = raw.groupBy("part").agg(F.max(F.struct("block", (F.col("before") + F.length("ids") / 4).cast("long").alias("n")))["n"].alias("n")).orderBy("part").collect()  # a row a partition
-    bases, at = {}, 0
+    rows = docs.select(F.col("doc_id").cast("long"), F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("tie"), F.col("text").cast("string"))
+    with temporary(spark):
+        raw = materialize(rows.mapInArrow(_tokenized(tokenizer, end_id, added, SLICE_IDS), _RAW), "ids")
+        counted = raw.filter("id IS NOT NULL").groupBy("id").agg(F.sum("times").alias("n")).collect()  # a row an id of the vocabulary
+        counts = np.zeros(max((r.id for r in counted), default=0) + 1, np.int64)
+        for r in counted:
+            counts[r.id] = r.n
+        limit = max(limit, int(np.ceil(np.log2(max(2, len(counted))))))
+        lengths = code_lengths(counts, limit)
+        spark.createDataFrame([(int(k), int(n), limit) for k, n in enumerate(lengths) if n], "id int,bits int,max_bits int").coalesce(1).write.parquet(f"{path}/lengths")
+        order = ["doc_id", "tie", "place"]  # a document's slices stay together
+        dealt = raw.filter("id IS NULL").drop("id", "times").repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order, "slice")
+        materialize_to(dealt.select("doc_id", "n", "ids", "width").mapInArrow(_blocks(lengths, limit, BLOCK_IDS), _CODED), f"{path}/blocks")
+    totals = spark.read.parquet(f"{path}/blocks").groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()  # a row a partition
+    bases, at = [], 0
     for r in totals:
-        bases[r.part], at = at, at + r.n
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = Code(lengths, limit)
-        for b in batches:
-            for r in b.to_pylist():
-                ids = np.frombuffer(r["ids"], "<u4")
-                words, marks = code.encode(ids)
-                yield batch(
-                    _CODED, part=[r["part"]], block=[r["block"]], first=[bases[r["part"]] + r["before"]], doc_ids=[r["doc_ids"]], doc_nulls=[r["doc_nulls"]],
-                    lengths=[r["lengths"]], n_ids=[len(ids)], bits=[words.tobytes()], checkpoints=[marks.astype("<i8").tobytes()],
-                )
-
-    raw.mapInArrow(encode, _CODED).write.option("compression", "zstd").parquet(f"{path}/blocks")
+        bases.append((r.part, at))
+        at += r.n
+    spark.createDataFrame(bases, "part int,first long").coalesce(1).write.parquet(f"{path}/parts")
 
 
 def read(spark: SparkSession, path: str) -> tuple[DataFrame, Code | None]:
+    """The blocks, each with how many ids stand before it, and the code."""
+    blocks = spark.read.parquet(f"{path}/blocks")
+    parts = spark.read.parquet(f"{path}/parts")  # a row a partition
+    blocks = blocks.join(F.broadcast(parts), "part").withColumn("first", F.col("first") + F.col("before"))
     rows = spark.read.parquet(f"{path}/lengths").collect()  # a row an id of the vocabulary
     if not rows:
-        return spark.read.parquet(f"{path}/blocks"), None
+        return blocks, None
     lengths = np.zeros(max(r.id for r in rows) + 1, np.uint8)
     for r in rows:
         lengths[r.id] = r.bits
-    return spark.read.parquet(f"{path}/blocks"), Code(lengths, rows[0].max_bits)
+    return blocks, Code(lengths, rows[0].max_bits)
 
 
 _DIGEST = "doc_id long,start long,n_tokens long,ids_crc32 long"

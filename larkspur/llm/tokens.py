@@ -20,6 +20,9 @@ from tokenizers import Tokenizer
 
 from larkspur.llm.vectors import Ranges, ragged
 
+#: Bytes that are read at once.
+LONG = 2 << 20
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _VISIBLE = np.zeros(256, bool)
@@ -36,10 +39,42 @@ _PUNCTUATION = _VISIBLE & ~_LETTER
 _PUNCTUATION[0x30:0x3A] = False
 
 
+class Index:
+    """Numbers by 64-bit key, looked up and added many at a time: a table with open addressing."""
+
+    def __init__(self, most: int):
+        self.most, self.count = most, 0
+        slots = 1 << (3 * most // 2).bit_length()
+        self.keys, self.values, self.mask = np.zeros(slots, np.uint64), np.full(slots, -1, np.int32), np.uint64(slots - 1)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """-1 for keys that it does not have."""
+        out = np.full(len(keys), -1, np.int32)
+        rest, slot = np.arange(len(keys)), (keys & self.mask).astype(np.int64)
+        while len(rest):
+            have, same = self.values[slot], self.keys[slot] == keys[rest]
+            found = same & (have >= 0)
+            out[rest[found]] = have[found]
+            go = ~same & (have >= 0)
+            rest, slot = rest[go], (slot[go] + 1) & int(self.mask)
+        return out
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Keys that are distinct and that it does not have."""
+        self.count += len(keys)
+        rest, slot = np.arange(len(keys)), (keys & self.mask).astype(np.int64)
+        while len(rest):
+            free = self.values[slot] < 0
+            self.values[slot[free]] = values[rest[free]]  # of several for one slot the last stays
+            self.keys[slot[free]] = keys[rest[free]]
+            go = (self.values[slot] != values[rest]) | (self.keys[slot] != keys[rest])
+            rest, slot = rest[go], (slot[go] + 1) & int(self.mask)
+
+
 class Encoder:
     """ids of rows, with a bounded cache of pieces."""
 
-    def __init__(self, path: str, most: int = 250_000, added: bool = False):
+    def __init__(self, path: str, most: int = 1_200_000, added: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # pieces hold no literal of an added token, or are to be read as text
         tokens = self.tokenizer.get_added_tokens_decoder() if added else {}
@@ -59,7 +94,7 @@ class Encoder:
         return (1, ids[1]) if len(ids) == 3 and ids[0] == ids[2] else None
 
     def _clear(self) -> None:
-        self.index: dict[int, int] = {}
+        self.index = Index(self.most)
         self.ids = np.array(list(self.literals.values()), np.uint32)  # the added tokens come first, outside the index
         self.starts, self.lengths = np.arange(len(self.ids)), np.ones(len(self.ids), np.int64)
 
@@ -112,7 +147,33 @@ class Encoder:
         return [(m.start(), m.end(), self.numbers[m[0]]) for a, b in zip(bounds[:-1], bounds[1:], strict=True) for m in self.literal.finditer(raw, a, b)]
 
     def rows(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """ids of all rows in a row, and where each row's begin (one more at the end)."""
+        """ids of all rows in a row, and where each row's begin (one more at the end).
+
+        Beyond LONG bytes, as of a very long row, pieces are read one after the other; they end where a visible ASCII
+        character is followed by white space, which is a cut as good as any.
+        """
+        if len(data) <= LONG or any(c in literal for literal in self.literals for c in b" \t\n\v\f\r"):
+            return self._rows(data, offsets)
+        ids, starts, have, lo = [], [], 0, 0
+        while lo < len(data):
+            hi = lo + LONG
+            while hi < len(data):
+                cuts = np.flatnonzero(_VISIBLE[data[hi - LONG : hi - 1]] & _SPACE[data[hi - LONG + 1 : hi]])
+                if len(cuts):
+                    hi = hi - LONG + 1 + int(cuts[-1])
+                    break
+                hi += LONG - 1
+            hi = min(hi, len(data))
+            inside = offsets[(offsets > lo) & (offsets < hi)] - lo
+            got, at = self._rows(data[lo:hi], np.concatenate([[0], inside, [hi - lo]]))
+            first = np.searchsorted(offsets, lo), np.searchsorted(offsets, hi)
+            starts.append(have + at[np.searchsorted(np.concatenate([[0], inside, [hi - lo]]), offsets[first[0] : first[1]] - lo)])
+            ids.append(got)
+            have, lo = have + len(got), hi
+        starts.append(np.full(len(offsets) - sum(map(len, starts)), have))
+        return np.concatenate(ids), np.concatenate(starts)
+
+    def _rows(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         pairs = np.zeros(len(data), bool)  # the byte is the second of a two-byte character
@@ -140,16 +201,17 @@ class Encoder:
     def _places(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Where each piece's ids are kept."""
         codes, distinct = pd.factorize(Ranges(data).hash(starts, ends))
-        if len(self.index) > self.most:
+        if self.index.count + len(distinct) > max(self.most, len(distinct)):
             self._clear()
-        index = self.index
-        place = np.array([index.get(h, -1) for h in distinct.tolist()], np.int64)
+        if len(distinct) > self.index.most:  # a block with more pieces than are kept
+            self.index = Index(len(distinct))
+        place = self.index.get(distinct).astype(np.int64)
         if len(new := np.flatnonzero(place < 0)):
             example = np.empty(len(distinct), np.int64)
             example[codes[::-1]] = np.arange(len(codes))[::-1]
             ids, lengths, order = self._encode(data, starts[example[new]], ends[example[new]])
             place[new] = order + len(self.starts)
-            index.update(zip(distinct[new].tolist(), place[new].tolist(), strict=True))
+            self.index.add(distinct[new], place[new].astype(np.int32))
             self.starts = np.concatenate([self.starts, np.cumsum(lengths) - lengths + len(self.ids)])
             self.lengths = np.concatenate([self.lengths, lengths])
             self.ids = np.concatenate([self.ids, ids])

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from larkspur.llm import huffman, packing, queries
+from larkspur.llm import huffman, packing, queries, tokens
 from larkspur.llm.common import tokenizer
 from larkspur.llm.tokens import Encoder
 from larkspur.llm.vectors import blocks
@@ -133,18 +133,17 @@ def test_placement_is_the_sum_of_squares_rule():
         assert packing.choose(counts, n, size) == max(h for h in allowed if squares(h) == least)
 
 
-def test_packer_keeps_every_id_and_bounds_open_sequences():
+def test_packer_keeps_every_id():
     rng = np.random.default_rng(5)
     packer, total = packing.Packer(size=64), 0
     for k in range(9000):
         n = int(rng.integers(1, 63))
         packer.add(k, np.full(n, k, np.uint32))
         total += n
-        assert packer.counts.sum() <= packing.OPEN
     packer.close()
     assert sum(len(p.ids) for s in packer.done for p in s) == total
     short = [s for s in packer.done if sum(len(p.ids) for p in s) < 64]
-    assert all((n := sum(len(p.ids) for p in s)) & (n - 1) == 0 for s in short) and len(short) < 20
+    assert packer.counts.sum() == 0 and all((n := sum(len(p.ids) for p in s)) & (n - 1) == 0 for s in short) and len(short) < 7
 
 
 @pytest.fixture(scope="module", params=NAMES)
@@ -152,6 +151,56 @@ def both_added(request):
     return Tokenizer.from_file(tokenizer(request.param)), Encoder(tokenizer(request.param), most=50, added=True)
 
 
+def test_index_is_a_dictionary():
+    rng = np.random.default_rng(4)
+    index, plain = tokens.Index(500), {}
+    for _ in range(12):
+        keys = np.unique(rng.integers(0, 1 << 63, 40).astype(np.uint64) << np.uint64(int(rng.integers(0, 40))))
+        assert index.get(keys).tolist() == [plain.get(k, -1) for k in keys.tolist()]
+        new = np.array([k for k in keys.tolist() if k not in plain], np.uint64)
+        values = np.arange(len(plain), len(plain) + len(new), dtype=np.int32)
+        index.add(new, values)
+        plain.update(zip(new.tolist(), values.tolist(), strict=True))
+    every = np.array(list(plain), np.uint64)
+    assert index.get(every).tolist() == list(plain.values()) and index.count == len(plain)
+
+
+def test_long_rows_are_read_in_pieces(monkeypatch, both_added):
+    t, encoder = both_added
+    texts = ["abc d,e é日 <|endoftext|> " * 40, "x" * 300, "", "a b " * 90 + "\u00a0 \u0301"]
+    whole = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    for size in (5, 17, 64, 1000):
+        monkeypatch.setattr(tokens, "LONG", size)
+        for limit in (1, 1 << 20):
+            got = []
+            for x in blocks(pa.array(texts, pa.string()), limit):
+                ids, at = encoder.rows(x.data, x.offsets)
+                got += [ids[a:z].tolist() for a, z in zip(at[:-1], at[1:], strict=True)]
+            assert got == whole
+
+
+def test_tails_do_not_keep_whole_documents():
+    packer, ids = packing.Packer(size=64), np.arange(6401, dtype=np.uint32)
+    packer.add(1, ids)
+    (tail,) = [p for some in packer.levels for s in some for p in s]
+    assert tail.ids.tolist() == [6400] and tail.ids.base is None
+
+
+def test_rows_of_one_id_come_in_one_order(spark, documents, words, monkeypatch):
+    """However the rows are dealt and sliced: by id, then by text."""
+    rows = [(7, words.text(k % 9 + 1)) for k in range(40)] + [(7, "same")] * 20 + [(3, words.text(2000)), (None, "x")]
+    results = []
+    for size in (1 << 18, 30):
+        monkeypatch.setattr(huffman, "SLICE_IDS", size)
+        monkeypatch.setattr(huffman, "BLOCK_IDS", 7 * size)
+        for parts in (1, 5):
+            path = scratch(spark, "test")
+            huffman.write(documents(rows).repartition(parts), path, tokenizer(NAMES[1]))
+            results.append(sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in huffman.digest(spark, path).collect()))
+            rows.reverse()
+    assert all(r == results[0] for r in results) and len(results[0]) == 62
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.lists(st.one_of(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|endoftext", "|>", "<|", " ", "abc", "\u0301", "\u3000"]), st.text(max_size=5)), max_size=8).map("".join), max_size=6))
 def test_added_tokens_give_the_ids_of_the_library(both_added, texts):
